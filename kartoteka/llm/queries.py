@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from kartoteka.llm.common import prepare, table
 from kartoteka.llm.minhash import near_duplicates
+from kartoteka.llm.suffix import repeat_report
+
+
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return repeat_report(table(spark, sf_dir, "documents"), length=400)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix": op2_suffix,
     "op8_minhash": op8_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}

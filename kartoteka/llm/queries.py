@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartoteka.llm.chat import format_chats, read_back, turns_as_events
 from kartoteka.llm.common import prepare, table
 from kartoteka.llm.minhash import near_duplicates
+from kartoteka.llm.mixing import mix
+from kartoteka.llm.packing import pack
 from kartoteka.llm.suffix import repeat_report
+from kartoteka.llm.tokens import token_counts
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +26,59 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_counts(table(spark, sf_dir, "documents"), limit=4096)
+
+
+#: Both turns of the added conversation say this.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return read_back(format_chats(turns_as_events(rows.unionByName(probe))))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+_CHAT_SQL = r"""
+WITH probe AS (
+    SELECT -7::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, '\### Assistant: </turn> ok' AS text
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT conv_id, turn, role, text FROM probe
+), sized AS (
+    SELECT *, 2 * length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', ''))
+            + 2 * length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), chr(10), ''))
+            + 14 AS chars FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_suffix": op2_suffix,
+    "op5_tokens": op5_tokens,
+    "op6_chat": op6_chat,
+    "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": _CHAT_SQL,
+}

@@ -11,6 +11,7 @@ Groups of a bounded number of tokens are packed independently.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,11 @@ from tokenizers import Tokenizer
 from kartoteka.llm.common import cut, slices
 
 MODEL, SPECIAL = "word_bpe_49k.json", "<|endoftext|>"
-#: Tokens of a sequence, tokens of an independently packed group, and words and parts of words a worker remembers.
-CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 900_000
+#: Tokens of a sequence, tokens of an independently packed group, and words a worker remembers.
+CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 1_200_000
 #: Cost of n tokens of one document: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1 / 4096
-#: Marks that may follow a word, and the end of the letters that normalisation leaves alone.
-_MARKS, _LATIN_END = ".,!?;:", "\u0250"
+_MARK = re.compile(r"(?<=[^\W\d_])([.,!?;:])(?= |\Z)")
 _MANY = np.iinfo(np.uint16).max
 
 
@@ -47,7 +47,6 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, np.ndarray] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.at, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
 
@@ -78,29 +77,27 @@ class WordEncoder:
             out.update((w, np.array(x.ids, dtype=np.uint32)) for w, x in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False)))
         return [out[w] for w in words]
 
-    def _learn(self, words: list[str]) -> None:
-        """Letters and the marks after them never share a token, so `word` and `Word,` are encoded from the same parts."""
-        parts = []
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(_MARKS)
-            split = core and core != low and max(core) < _LATIN_END and core.isalpha() and core == core.lower()
-            parts.append((core, low[len(core) :]) if split else (low,))
-        new = list({p for ps in parts for p in ps if p not in self.parts})
-        if new:
-            self.parts.update(zip(new, self._encode_new(new)))
-        known = self.parts
-        self._add(words, [known[ps[0]] if len(ps) == 1 else np.concatenate([known[ps[0]], known[ps[1]]]) for ps in parts])
+    def _words(self, text: str) -> list[str]:
+        """Parts that share no token: words, and marks between a letter and a space.
+
+        Latin-1 letters are lowered here as the library would, so that fewer words differ.
+        """
+        text = text.replace("\n", " ").replace("\t", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        return _MARK.sub(r" \1", text.lower()).split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.known) + len(self.parts) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._clear()
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [self._words(t) for t in texts]
         new = list({w for ws in split for w in ws if w not in self.known})
         if new:
-            self._learn(new)
+            self._add(new, self._encode_new(new))
         counts = [len(ws) for ws in split]
         which = np.fromiter((i for ws in split for i in map(self.known.__getitem__, ws)), dtype=np.int64, count=sum(counts))
         sizes = self.size[which]

@@ -26,7 +26,7 @@ from kartoteka.llm.common import slices
 
 MODEL = "piece_bpe_32k.model"
 #: Different chunks that a worker remembers, and slots (a power of two) of its memory of pairs of pieces.
-REMEMBERED, PAIR_SLOTS = 400_000, 1 << 20
+REMEMBERED, PAIR_SLOTS = 800_000, 1 << 21
 #: Chunks of up to so many code points are solved many at a time.
 SHORT = 48
 _CHUNK = re.compile(r" +[^ ]*")
@@ -133,9 +133,7 @@ class PrefixCounter:
         return counts
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.totals) > REMEMBERED:
-            self.older, self.totals = self.totals, {}
-        if len(self.stands) > REMEMBERED:
+        if len(self.stands) > PAIR_SLOTS:
             self.stands.clear()
         short = sorted((c for c in chunks if len(c) <= SHORT), key=len, reverse=True)
         for at in range(0, len(short), 20_000):
@@ -186,14 +184,20 @@ class PrefixCounter:
 
     def totals_of(self, texts: list[str]) -> list[int]:
         """Tokens of the whole texts: the counts at their last prefixes."""
+        if len(self.totals) > REMEMBERED:
+            self.older, self.totals = self.totals, {}
         split = [self._chunks(t) for t in texts]
-        get, old = self.totals.get, self.older
-        new = {c for chunks in split for c in chunks if get(c) is None}
-        if new:
-            kept = {c: old[c] for c in new if c in old}
-            self._learn([c for c in new if c not in kept])
-            self.totals.update(kept)
-        lookup = self.totals.__getitem__
+        totals, older = self.totals, self.older
+        unknown = []
+        for c in {c for chunks in split for c in chunks if c not in totals}:
+            n = older.get(c)
+            if n is None:
+                unknown.append(c)
+            else:
+                totals[c] = n
+        if unknown:
+            self._learn(unknown)
+        lookup = totals.__getitem__
         return [sum(map(lookup, chunks)) for chunks in split]
 
     def table(self, text: str) -> np.ndarray:

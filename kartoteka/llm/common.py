@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,28 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is used only where none is set (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``; a temporary one is used
+    only where none is set (single-machine tests).
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kartoteka-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kartoteka-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and returns it with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from kartoteka.llm.chat import format_chats, read_back, turns_as_events
 from kartoteka.llm.common import prepare, table
+from kartoteka.llm.fingerprint import edited_report
+from kartoteka.llm.language import identify_language
 from kartoteka.llm.minhash import near_duplicates
 from kartoteka.llm.mixing import mix
 from kartoteka.llm.packing import pack
 from kartoteka.llm.suffix import repeat_report
 from kartoteka.llm.tokens import token_counts
+from kartoteka.llm.toxicity import toxicity
+from kartoteka.llm.vectors import near_vectors
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,16 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=400)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_counts(table(spark, sf_dir, "documents"), limit=4096)
@@ -71,13 +85,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return edited_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix": op2_suffix,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op5_tokens": op5_tokens,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
+    "op9_vectors": op9_vectors,
+    "op10_fingerprint": op10_fingerprint,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": _CHAT_SQL,

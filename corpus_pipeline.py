@@ -46,9 +46,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document stands in the result as often as the mix takes its words; a
     fraction left over becomes a whole copy with that probability, by a seeded
-    hash of its id. Rows that share an id share their words.
+    hash of its id. Rows that share an id share their words. Documents without
+    a word have none that the mix could take and go.
     """
-    taken = mix(docs).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("_times")).withColumnRenamed("doc_id", "_id")
+    taken = mix(docs).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times")).withColumnRenamed("doc_id", "_id")
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / (1 << 20)
     copies = F.floor("_times") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)
     joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", copies).filter("_copies > 0")

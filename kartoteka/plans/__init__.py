@@ -1,7 +1,5 @@
 """Registered queries of the catalog engine and the SQL that checks them."""
 
-from __future__ import annotations
+from kartoteka.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

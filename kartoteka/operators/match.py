@@ -94,7 +94,7 @@ def _best(joined: DataFrame, how: str) -> DataFrame:
 
 def unify_values(values: DataFrame, attribute: str, value: str) -> DataFrame:
     """(attribute, value, canon): spellings with one stem take its most frequent one."""
-    stem = F.regexp_replace(F.array_join(F.array_sort(F.transform(F.split(norm_key(F.col(value)), " "), lambda w: F.regexp_replace(w, "(?<=\\p{L}{4})(?:ая|ое|ый|ий|ые|ие|ой|а|ы|и|s)$", ""))), " "), "\\s+", " ")
+    stem = F.regexp_replace(F.array_join(F.array_sort(F.transform(F.split(norm_key(F.col(value)), " "), lambda w: F.regexp_replace(w, "(?<=\\p{L}{3})(?:ая|ое|ый|ий|ые|ие|ой|а|ы|и|s)$", ""))), " "), "\\s+", " ")
     counts = values.groupBy(attribute, value).agg(F.count("*").alias("_n")).withColumn("_stem", stem)
     best = F.first(value).over(Window.partitionBy(attribute, "_stem").orderBy(F.col("_n").desc(), F.length(value), F.col(value)))
     return counts.select(attribute, value, best.alias("canon"))

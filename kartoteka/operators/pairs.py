@@ -52,8 +52,10 @@ def card_pairs(cards: DataFrame, id_col: str = "id", annotation: str = "annotati
     named = list(zip(("annotation", "description"), parts))
     if attributes:
         named.insert(0, ("attributes", pairs_of_attributes(F.col(attributes))))
-    tagged = [F.transform(F.coalesce(p, F.array().cast(PAIR_TYPE)), lambda x, n=name: F.struct(x["key"].alias("key"), x["value"].alias("value"), F.lit(n).alias("source"))) for name, p in named]
-    flat = cards.select(F.col(id_col).alias("id"), F.posexplode(F.concat(*tagged)).alias("seq", "p")).select("id", "seq", "p.*")
+    def tagged(name: str, found: Column) -> Column:
+        return F.transform(F.coalesce(found, F.array().cast(PAIR_TYPE)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), F.lit(name).alias("source")))
+
+    flat = cards.select(F.col(id_col).alias("id"), F.posexplode(F.concat(*[tagged(*n) for n in named])).alias("seq", "p")).select("id", "seq", "p.*")
     others = F.struct("seq", "key", "value", "source")
     return flat.groupBy("id", F.lower("key").alias("_k")).agg(F.min(others).alias("p")).select("id", "p.*")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartoteka.llm import oracles
 from kartoteka.llm.chat import format_chats, read_back, turns_as_events
 from kartoteka.llm.common import prepare, table
 from kartoteka.llm.fingerprint import edited_report
@@ -65,26 +66,6 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-_CHAT_SQL = r"""
-WITH probe AS (
-    SELECT -7::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, '\### Assistant: </turn> ok' AS text
-    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT conv_id, turn, role, text FROM probe
-), sized AS (
-    SELECT *, 2 * length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', ''))
-            + 2 * length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), chr(10), ''))
-            + 14 AS chars FROM turns
-)
-SELECT conv_id, count(*)::BIGINT AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
-
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -108,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprint": op10_fingerprint,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op6_chat": _CHAT_SQL,
+    "op1_mixing": oracles.MIXING,
+    "op6_chat": oracles.CHAT,
+    "op8_minhash": oracles.NEAR_TEXTS,
+    "op9_vectors": oracles.NEAR_VECTORS,
 }

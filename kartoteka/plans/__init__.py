@@ -1,5 +1,6 @@
 """Registered queries of the catalog engine and the SQL that checks them."""
 
+from kartoteka.plans import audits  # noqa: F401  registers its queries
 from kartoteka.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

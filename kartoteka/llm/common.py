@@ -111,6 +111,17 @@ _WORD[SPACE] = 0
 _PLACE = {"powers": powers(0x9E3779B97F4A7C15 | 1, 1024)}
 
 
+def hashed_words(data: np.ndarray, starts: np.ndarray, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at starts; a segment is a word and the white space up to the next."""
+    longest = int(segments.max())
+    if longest > len(_PLACE["powers"]):
+        _PLACE["powers"] = powers(0x9E3779B97F4A7C15 | 1, 2 * longest)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, segments)
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_WORD[data[starts[0] :]] * _PLACE["powers"][place], starts - starts[0])
+        return mix64(sums + lengths.astype(np.uint64) * M2)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and each text's first word.
 
@@ -127,13 +138,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     stops = np.flatnonzero(before & ~in_word)
     sizes = np.diff(np.append(starts, len(data)))
-    longest = int(sizes.max())
-    if longest > len(_PLACE["powers"]):
-        _PLACE["powers"] = powers(0x9E3779B97F4A7C15 | 1, 2 * longest)
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_WORD[data[starts[0] :]] * _PLACE["powers"][place], starts - starts[0])
-        words = mix64(sums + (stops - starts).astype(np.uint64) * M2)
+    words = hashed_words(data, starts, sizes, stops - starts)
     first = np.concatenate([[0], np.searchsorted(starts, ends)])
     return words, first.astype(np.int64)
 

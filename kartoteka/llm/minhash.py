@@ -166,7 +166,9 @@ def near_duplicates(
     leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     near = keys.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     clusters = cut(connected_components(near))
-    sets = filled.select("node", "shingles", "n_shingles").join(clusters, "node").groupBy("node", "component").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"))
+    chosen = nodes.select(F.col("node").alias("c_node"), "least").join(clusters.withColumnRenamed("node", "c_node"), "c_node")
+    one_row = (F.col("node") == F.col("c_node")) & F.col("id").eqNullSafe(F.col("least"))  # copies differ in id, so they spread
+    sets = filled.select("id", "node", "shingles", "n_shingles").join(chosen, one_row).groupBy("node", "component").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"))
     sets = cut(sets)
     weights = sets.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("blocks"))
     dealt = sets.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -11,7 +11,6 @@ Groups of a bounded number of tokens are packed independently.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,22 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kartoteka.llm.common import cut, slices
+from kartoteka.llm.common import SPACE, cut, hashed_words, slices
 
 MODEL, SPECIAL = "word_bpe_49k.json", "<|endoftext|>"
 #: Tokens of a sequence, tokens of an independently packed group, and words a worker remembers.
-CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 1_200_000
+CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 2_500_000
 #: Cost of n tokens of one document: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1 / 4096
-_MARK = re.compile(r"(?<=[^\W\d_])([.,!?;:])(?= |\Z)")
+#: Kinds of bytes: 0 white space, 1 a letter of ASCII, 2 a mark that may end a word, 3 others.
+_KINDS = np.full(256, 3, dtype=np.uint8)
+_KINDS[SPACE] = 0
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[[ord(c) for c in ".,!?;:"]] = 2
 _MANY = np.iinfo(np.uint16).max
 
 
 class WordEncoder:
     """Token ids of whole texts under a BPE whose pre-tokenizer drops white space.
 
-    No token crosses white space, so texts are encoded by their words and each
-    word only once while it is remembered.
+    No token crosses white space, nor lies across a letter and a mark that
+    white space follows. Texts are cut there into words; words are told apart
+    by 64-bit hashes, and the library encodes each word only once while its
+    ids are remembered.
     """
 
     def __init__(self, path: str, special: str = SPECIAL) -> None:
@@ -46,66 +51,75 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.at, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-
-    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
-        n, total = len(self.known), self.used + sum(map(len, ids))
-        while len(self.at) < n + len(words):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        while len(self.flat) < total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        self.size[n : n + len(words)] = sizes
-        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : total] = np.concatenate(ids)
-        self.used = total
-        self.known.update(zip(words, range(n, n + len(words))))
+        self.hashes, self.at, self.size = (np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int32))
+        self.flat = np.zeros(0, dtype=np.uint32)
 
     def _encode_new(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words from the library, many in one text with the special token between them."""
-        odd = [w for w in words if self.special in w]
-        plain = [w for w in words if self.special not in w] if odd else words
+        odd = [i for i, w in enumerate(words) if self.special in w]
+        apart = set(odd)
+        plain = [i for i in range(len(words)) if i not in apart]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
         blocks = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        out: dict[str, np.ndarray] = {}
-        for block, got in zip(blocks, self.model.encode_batch_fast([self.special.join(b) for b in blocks], add_special_tokens=False)):
+        for block, got in zip(blocks, self.model.encode_batch_fast([self.special.join(words[i] for i in b) for b in blocks], add_special_tokens=False)):
             ids = np.array(got.ids, dtype=np.uint32)
             between = np.flatnonzero(ids == self.special_id)
-            out.update(zip(block, np.split(ids[ids != self.special_id], between - np.arange(len(between)))))
-        if odd:
-            out.update((w, np.array(x.ids, dtype=np.uint32)) for w, x in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False)))
-        return [out[w] for w in words]
-
-    def _words(self, text: str) -> list[str]:
-        """Parts that share no token: words, and marks between a letter and a space.
-
-        Latin-1 letters are lowered here as the library would, so that fewer words differ.
-        """
-        text = text.replace("\n", " ").replace("\t", " ")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        return _MARK.sub(r" \1", text.lower()).split(" ")
+            for i, own in zip(block, np.split(ids[ids != self.special_id], between - np.arange(len(between)))):
+                out[i] = own
+        for i in odd:
+            out[i] = np.array(self.model.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds words, given by ascending hash."""
+        ids = self._encode_new(words)
+        sizes = np.array([len(x) for x in ids], dtype=np.int32)
+        at = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, *ids])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.hashes, hashes), (self.at, at), (self.size, sizes)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.known) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self._clear()
-        split = [self._words(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if new:
-            self._add(new, self._encode_new(new))
-        counts = [len(ws) for ws in split]
-        which = np.fromiter((i for ws in split for i in map(self.known.__getitem__, ws)), dtype=np.int64, count=sum(counts))
-        sizes = self.size[which]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.cumsum(counts)
-        cuts = np.where(words > 0, ends[words - 1], 0)
-        return np.split(ids, cuts[:-1])
+        coded = [_lowered(t) for t in texts]
+        data = np.frombuffer(b"\n".join(coded) + b"\n", dtype=np.uint8)
+        kind = _KINDS[data]
+        starts = np.flatnonzero((kind != 0) & (np.concatenate([[0], kind[:-1]]) == 0) | (kind == 2) & (np.concatenate([[0], kind[:-1]]) == 1) & (np.concatenate([kind[1:], [0]]) == 0))
+        ends = np.cumsum([len(t) + 1 for t in coded])
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        segments = np.diff(np.append(starts, len(data)))
+        lengths = np.add.reduceat((kind != 0).astype(np.int32), starts)
+        words = hashed_words(data, starts, segments, lengths)
+        unique, first, which = np.unique(words, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.hashes, unique)
+        held = spot < len(self.hashes)
+        held[held] = self.hashes[spot[held]] == unique[held]
+        if not held.all():
+            new = np.flatnonzero(~held)
+            raw = data.tobytes()
+            at = starts[first[new]]
+            self._learn(unique[new], [raw[a : a + n].decode() for a, n in zip(at.tolist(), lengths[first[new]].tolist())])
+            spot = np.searchsorted(self.hashes, unique)
+        where = spot[which]
+        sizes = self.size[where].astype(np.int64)
+        done = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.at[where] - (done - sizes), sizes) + np.arange(done[-1])]
+        last = np.searchsorted(starts, ends)
+        return np.split(ids, np.where(last > 0, done[last - 1], 0)[:-1])
+
+
+def _lowered(text: str) -> bytes:
+    """UTF-8 bytes; A-Z lowered, as the library would, where no letter could combine with what follows."""
+    data = text.encode()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return data
+    return data.lower()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,7 +141,7 @@ def _tokenised(path: str, capacity: int, end_id: int):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             carries = batch.column(2).to_pylist()
-            for a, b in slices([t.encode() for t in texts], 1_000_000):
+            for a, b in slices([t.encode() for t in texts], 2_000_000):
                 totals, fulls, rests, crcs, carried = [], [], [], [], []
                 for i, ids in enumerate(own.encode(texts[a:b])):
                     ids = np.append(ids, np.uint32(end_id))

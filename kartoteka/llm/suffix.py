@@ -99,19 +99,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _found_runs(length: int):
+    """Runs of every text; place is start * length + (stop - start). A run's digit and content hash, 128 bits, tell it."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(2))
             for a, b in slices(texts):
                 doc, start, stop, digit = runs(texts[a:b], length)
-                one, two = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-                for i, (d, s, e) in enumerate(zip(doc.tolist(), start.tolist(), stop.tolist())):
-                    h = xxhash.xxh3_128_intdigest(texts[a + d][s : e + length])
-                    one[i], two[i] = (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                one = np.array([xxhash.xxh3_64_intdigest(texts[a + d][s : e + length]) for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist())], dtype=np.uint64)
                 pick = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(digit.view(np.int64)), pa.array(one), pa.array(two)],
-                    ["key", "text_hash", "start", "stop", "digit", "one", "two"],
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start * length + stop - start, pa.int64()), pa.array(digit.view(np.int64)), pa.array(one.view(np.int64))],
+                    ["key", "text_hash", "place", "digit", "one"],
                 )
 
     return find
@@ -226,13 +225,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    found = cut(keyed.select("key", "text_hash", "text").mapInArrow(_found_runs(length), "key long, text_hash long, start long, stop long, digit long, one long, two long"))
-    run = ["digit", "one", "two"]
-    counts = found.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "start")).alias("sample"))
+    found = cut(keyed.select("key", "text_hash", "text").mapInArrow(_found_runs(length), "key long, text_hash long, place long, digit long, one long"))
+    run = ["digit", "one"]
+    counts = found.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "place")).alias("sample"))
     digits = counts.groupBy("digit").agg(F.count("*").alias("different"), F.sum("n").alias("total")).filter("total > 1")
-    known = found.join(counts.join(digits, "digit"), run)
+    known = found.join(counts.join(digits, "digit"), run).withColumn("start", F.floor(F.col("place") / length)).withColumn("stop", F.col("start") + F.col("place") % length)
     spans = known.filter("n > 1").select("key", "text_hash", F.col("start").alias("from"), (F.col("stop") + length).alias("to"))
-    sampled = F.struct("key", "text_hash", "start") == F.col("sample")
+    sampled = F.struct("key", "text_hash", "place") == F.col("sample")
     open_runs = cut(known.filter((F.col("different") > 1) & ((F.col("n") == 1) | sampled)).select("key", "text_hash", "start", "stop", "digit", (F.col("n") > 1).alias("sure"), (F.col("different") > runs_in_task).alias("crowded")))
 
     def contents(asked: DataFrame) -> DataFrame:

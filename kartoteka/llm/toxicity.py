@@ -49,8 +49,8 @@ def _words(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-def features(text: str) -> list[int]:
-    return [f for w in {w.strip(_EDGE) for w in _words(text)} for f in word_features(w)]
+def features(text: str) -> np.ndarray:
+    return np.fromiter((f for w in {w.strip(_EDGE) for w in _words(text)} for f in word_features(w)), dtype=np.int32)
 
 
 def swapped(text: str, swaps: int = SWAPS, terms: tuple[str, ...] = IDENTITY_TERMS) -> list[tuple[str, str]]:
@@ -68,8 +68,8 @@ def swapped(text: str, swaps: int = SWAPS, terms: tuple[str, ...] = IDENTITY_TER
 class _Rows:
     """Sparse rows of feature counts."""
 
-    def __init__(self, rows: list[list[int]], names: np.ndarray) -> None:
-        ids = np.fromiter((f for r in rows for f in r), dtype=np.int64)
+    def __init__(self, rows: list[np.ndarray], names: np.ndarray) -> None:
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
         known = names[at] == ids
@@ -91,7 +91,7 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT, t
     pairs = [p for t in texts for p in swapped(t, terms=terms)]
     rows = [features(t) for t in texts]
     left, right = ([features(p[i]) for p in pairs] for i in (0, 1))
-    used, times = np.unique(np.fromiter((f for r in (*rows, *left, *right) for f in r), dtype=np.int64), return_counts=True)
+    used, times = np.unique(np.concatenate([*rows, *left, *right]), return_counts=True)
     used = used[times > 1] if (times > 1).any() else used  # a feature seen once says nothing about other texts
     x, a, b = (_Rows(part, used) for part in (rows, left, right))
     n = len(used)

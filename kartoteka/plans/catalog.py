@@ -397,7 +397,7 @@ def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.issue_groups(_table(spark, sf_dir, "events"), "event_type", "user_id")
 
 
-@query("""SELECT c_custkey, to_json({'id': c_custkey, 'card': {'title': c_name, 'tags': [c_mktsegment, 'nation ' || c_nationkey]}}) AS card FROM customer""")
+@query("""SELECT c_custkey, to_json({'id': c_custkey, 'card': {'title': c_name, 'tags': [c_mktsegment, 'nation ' || c_nationkey]}})::VARCHAR AS card FROM customer""")
 def template_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = {"id": "{{c_custkey}}", "card": {"title": "{{c_name}}", "tags": ["{{c_mktsegment}}", "nation {{ c_nationkey }}"]}}
     return _table(spark, sf_dir, "customer").select("c_custkey", shape.from_template(template).cast("string").alias("card"))

@@ -32,6 +32,7 @@ GRAM, RUNS_IN_TASK = 40, 5_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _VALUES = (seeded(31, 256), seeded(32, 256))
 _POWERS: dict = {}
+_HALF, _PLACE = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def _rolling(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +73,12 @@ def runs(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray,
     data = np.frombuffer(b"".join(texts[i] for i in long), dtype=np.uint8)
     ends = np.cumsum([len(texts[i]) for i in long])
     begins = ends - [len(texts[i]) for i in long]
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         hashes = _window_hash(_rolling(data, 0), np.arange(len(data) - gram + 1), gram)
         spread = hashes * np.uint64(0x94D049BB133111EB)
-    least = _least((spread >> bits << bits) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
-    where = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # the same 32 bits of the hash, then the place, in every slice: ties fall alike wherever a window stands
+    least = _least((spread >> _HALF << _HALF) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
+    where = (least & _PLACE).astype(np.int64)
     valid = np.zeros(len(where) + 1, dtype=bool)
     for b, e in zip(begins, ends):
         valid[b : e - length + 1] = True

@@ -93,10 +93,12 @@ def runs(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray,
     return np.array(long)[doc], first - begins[doc], last - begins[doc], hashes[where[first]]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows that agree in key and text hash have the same text and so the same spans."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """Rows that agree in key and text hash have the same text and so the same spans. row: the other columns."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text")
+    )
 
 
 def _found_runs(length: int):
@@ -129,7 +131,7 @@ def _contents(length: int):
         for batch in batches:
             keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             picked, size = [], 0
-            for i, (text, rows) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist())):
+            for i, (text, rows) in enumerate(zip(text_bytes(batch.column(3)), batch.column(4).to_pylist())):
                 for r in rows:
                     picked.append((keys[i], hashes[i], r["start"], r["digit"], r["sure"], text[r["start"] : r["stop"] + length]))
                     size += len(picked[-1][-1])
@@ -224,8 +226,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Spans of a text may overlap or repeat; their union is what is covered.
     """
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
+    return _spans_of(_keyed(docs, id_col, text_col, [id_col]), length, runs_in_task)
+
+
+def _spans_of(keyed: DataFrame, length: int, runs_in_task: int) -> DataFrame:
+    spark = keyed.sparkSession
     found = cut(keyed.select("key", "text_hash", "text").mapInArrow(_found_runs(length), "key long, text_hash long, place long, digit long, one long"))
     run = ["digit", "one"]
     counts = found.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "place")).alias("sample"))
@@ -237,7 +242,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def contents(asked: DataFrame) -> DataFrame:
         lists = asked.groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "stop", "digit", "sure")).alias("asked"))
-        joined = keyed.select("key", "text_hash", "text").join(lists.hint("shuffle_hash"), ["key", "text_hash"])
+        # all columns of keyed: then this shuffle of the texts also serves the join with the spans
+        joined = keyed.join(lists.hint("shuffle_hash"), ["key", "text_hash"]).select("key", "text_hash", "row", "text", "asked")
         return joined.mapInArrow(_contents(length), "key long, text_hash long, start long, digit long, sure boolean, content binary")
 
     few = contents(open_runs.filter("not crowded"))
@@ -262,11 +268,12 @@ def _covered(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _joined(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_key"), F.xxhash64(text).alias("_text_hash"), F.struct(*extra).alias("_row"), text.alias("_text"))
+def _joined(docs: DataFrame, id_col: str, text_col: str, others: list[str], length: int, runs_in_task: int) -> DataFrame:
+    """row, text, spans of every row of docs."""
+    keyed = _keyed(docs, id_col, text_col, others)
+    spans = _spans_of(keyed, length, runs_in_task)
     lists = spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    return rows.join(lists.hint("shuffle_hash"), (F.col("_key") == F.col("key")) & (F.col("_text_hash") == F.col("text_hash")), "left").select("_row", "_text", "spans")
+    return keyed.join(lists.hint("shuffle_hash"), ["key", "text_hash"], "left").select("row", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK) -> DataFrame:
@@ -278,9 +285,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart is dropped from the text. Null texts stay null, with no spans. Other
     columns pass unchanged, whatever their names.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, runs_in_task)
     names = docs.columns
-    joined = _joined(docs, spans, id_col, text_col, [F.col(f"`{c}`") for c in names])
+    joined = _joined(docs, id_col, text_col, [c for c in names if c != text_col], length, runs_in_task)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +299,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     t = b"".join(_kept(t.encode(), cutting)).decode("utf-8", "ignore")
                 out.append(t)
             spans_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(gone, spans_type)], ["_row", "_text", "removed_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(gone, spans_type)], ["row", "text", "removed_spans"])
 
-    row_type = joined.schema["_row"].dataType.simpleString()
-    done = joined.mapInArrow(strip, f"_row {row_type}, _text string, removed_spans array<struct<from:bigint,to:bigint>>")
-    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], "removed_spans")
+    row_type = joined.schema["row"].dataType.simpleString()
+    done = joined.mapInArrow(strip, f"row {row_type}, text string, removed_spans array<struct<from:bigint,to:bigint>>")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names], "removed_spans")
 
 
 def _kept(text: bytes, cutting: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -310,7 +316,7 @@ def _kept(text: bytes, cutting: list[tuple[int, int]]) -> Iterator[bytes]:
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that remain (null text: empty)."""
-    joined = _joined(docs, repeated_spans(docs, id_col, text_col, length, runs_in_task), id_col, text_col, [F.col(id_col).cast("long").alias("id")])
+    joined = _joined(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, [id_col], length, runs_in_task)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

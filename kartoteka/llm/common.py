@@ -6,6 +6,7 @@ memory follows the slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -41,9 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -54,6 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of written() that nothing reads any more, and frees finished shuffles.
+
+    Spark's cleaner removes shuffle files and checkpoints once the driver's
+    garbage is collected; on a long job this need not happen by itself.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark's cleaner removes what no DataFrame refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import as_long, cut, distinct_sorted, mix64, seeded, shingle_hashes, slices, text_bytes, word_hashes
+from kartoteka.llm.common import as_long, cut, discard, distinct_sorted, mix64, new_path, seeded, shingle_hashes, slices, text_bytes, word_hashes, written
 from kartoteka.llm.components import Forest, connected_components
 
 #: Rows to a band and bands: a pair at similarity 0.85 shares no band with probability 2e-7.
@@ -159,10 +159,13 @@ def near_duplicates(
     is never a component's id, and is kept only where its component has no
     other id. Repeated rows keep their number; copies with one id are all kept.
     """
-    all_rows = cut(sketched(docs, id_col, text_col, k, rows, bands))
-    filled = all_rows.filter("n_shingles > 0")
-    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
-    keys = nodes.select("node", F.explode("bands").alias("band"))
+    spark = docs.sparkSession
+    path = new_path(spark)
+    sketches = written(sketched(docs, id_col, text_col, k, rows, bands), path)
+    all_rows = cut(sketches.select("id", "n_shingles", "node"))
+    filled = sketches.filter("n_shingles > 0")
+    nodes = all_rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"))
+    keys = filled.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     near = keys.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     clusters = cut(connected_components(near))
@@ -170,6 +173,7 @@ def near_duplicates(
     one_row = (F.col("node") == F.col("c_node")) & F.col("id").eqNullSafe(F.col("least"))  # copies differ in id, so they spread
     sets = filled.select("id", "node", "shingles", "n_shingles").join(chosen, one_row).groupBy("node", "component").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"))
     sets = cut(sets)
+    discard(spark, path)  # only all_rows and the candidates' sets are read from here on
     weights = sets.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("blocks"))
     dealt = sets.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

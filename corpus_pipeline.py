@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import cut, prepare, table, written
+from kartoteka.llm.common import cut, prepare, release, table, written
 from kartoteka.llm.language import UNKNOWN, identify_language
 from kartoteka.llm.minhash import near_duplicates
 from kartoteka.llm.mixing import mix
@@ -30,7 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies (Jaccard 0.8 of five-word shingles)."""
     prepare(spark)
-    kept = cut(near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())  # frees the signatures
+    kept = cut(near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    release(spark)  # what the search has shuffled, before the texts are
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 

@@ -87,7 +87,9 @@ class WordEncoder:
         coded = [_lowered(t) for t in texts]
         data = np.frombuffer(b"\n".join(coded) + b"\n", dtype=np.uint8)
         kind = _KINDS[data]
-        starts = np.flatnonzero((kind != 0) & (np.concatenate([[0], kind[:-1]]) == 0) | (kind == 2) & (np.concatenate([[0], kind[:-1]]) == 1) & (np.concatenate([kind[1:], [0]]) == 0))
+        before, after = np.zeros_like(kind), np.zeros_like(kind)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        starts = np.flatnonzero((kind != 0) & (before == 0) | (kind == 2) & (before == 1) & (after == 0))
         ends = np.cumsum([len(t) + 1 for t in coded])
         if not len(starts):
             return [np.zeros(0, np.uint32) for _ in texts]

@@ -39,7 +39,7 @@ def _rolling(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the bytes' polynomial, and the powers that move a difference to place 0."""
     base = _BASES[which]
     if len(_POWERS.get(which, ((),))[0]) < len(data) + 1:
-        n = max(len(data) + 1, 1 << 21)
+        n = max(len(data) + 1, 1 << 19)
         _POWERS[which] = (powers(base, n), powers(pow(base, -1, 1 << 64), n))
     up, down = _POWERS[which]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -166,7 +166,7 @@ def _spans(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[new], place[new], place[np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)]
 
 
-def _compared(length: int, most: int = 3_000_000):
+def _compared(length: int, most: int = 1_000_000):
     """Repeated windows among runs sorted by digit; whole digits are gathered up to `most` bytes."""
 
     def judge(rows: list[pa.RecordBatch]) -> pa.RecordBatch:

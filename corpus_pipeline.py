@@ -18,6 +18,8 @@ from kartoteka.llm.suffix import remove_repeats
 
 #: A document is rejected below this mean probability of its likeliest language.
 LEAST_CONFIDENCE = 0.35
+#: Words of the shortest repeated passage that goes: passages of over 50 words do.
+REPEAT_WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +38,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur more than once out of the texts; documents stay, if empty too."""
+    """Cuts passages of over 50 words that occur more than once out of the texts; documents stay, if empty too.
+
+    Passages are compared word by word, so neither the bytes of their words nor
+    the white space between these matter.
+    """
     prepare(spark)
-    done = remove_repeats(docs, length=400).withColumn("n_chars", F.length("text").cast("long"))
+    done = remove_repeats(docs, length=REPEAT_WORDS, words=True).withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*docs.columns)
 
 

@@ -12,6 +12,9 @@ threshold, so equal groups are exactly the repeated windows. Three passes do it:
 3. What is left, runs that share a q-gram but differ elsewhere, is compared
    window by window over all `length` bytes. A q-gram with very many different
    runs goes through a grouped count of windows, so no task gathers it.
+
+The units are bytes, or words: then a text is the string of its words' 64-bit
+hashes, `width` is 8, and places and lengths count words.
 """
 
 from __future__ import annotations
@@ -25,25 +28,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import cut, is_empty, parts_for, powers, seeded, slices, text_bytes
+from kartoteka.llm.common import SPACE, cut, is_empty, mix64, parts_for, powers, seeded, slices, text_bytes, word_hashes
 
 #: Bytes of the first digit, and different runs of one digit that a task compares at most.
 GRAM, RUNS_IN_TASK = 40, 5_000
+#: Where words are the units: words of the first digit, and bytes of a unit (a word's hash).
+WORD_GRAM, WORD_WIDTH = 8, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _VALUES = (seeded(31, 256), seeded(32, 256))
 _POWERS: dict = {}
 _HALF, _PLACE = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
+def _packed_words(texts: list[bytes]) -> list[bytes]:
+    """The hashes of each text's words, eight bytes each."""
+    words, first = word_hashes(texts)
+    return [words[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+
+
+def _units(texts: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(texts), dtype=np.uint8 if width == 1 else np.uint64)
+
+
+def _values(data: np.ndarray, which: int) -> np.ndarray:
+    return _VALUES[which][data] if data.dtype == np.uint8 else mix64(data + _VALUES[which][0])
+
+
 def _rolling(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the bytes' polynomial, and the powers that move a difference to place 0."""
+    """Prefix sums of the units' polynomial, and the powers that move a difference to place 0."""
     base = _BASES[which]
     if len(_POWERS.get(which, ((),))[0]) < len(data) + 1:
         n = max(len(data) + 1, 1 << 19)
         _POWERS[which] = (powers(base, n), powers(pow(base, -1, 1 << 64), n))
     up, down = _POWERS[which]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[which][data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_values(data, which) * up[: len(data)], out=sums[1:])
     return sums, down
 
 
@@ -64,15 +83,16 @@ def _least(grams: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], length: int, gram: int = GRAM, width: int = 1) -> tuple[np.ndarray, ...]:
     """(text, start, stop, digit): runs [start, stop] of window starts that share their least q-gram."""
     gram = min(gram, length)
-    long = [i for i, t in enumerate(texts) if len(t) >= length]
+    long = [i for i, t in enumerate(texts) if len(t) >= length * width]
     if not long:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    data = np.frombuffer(b"".join(texts[i] for i in long), dtype=np.uint8)
-    ends = np.cumsum([len(texts[i]) for i in long])
-    begins = ends - [len(texts[i]) for i in long]
+    data = _units([texts[i] for i in long], width)
+    sizes = np.array([len(texts[i]) // width for i in long])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     with np.errstate(over="ignore"):
         hashes = _window_hash(_rolling(data, 0), np.arange(len(data) - gram + 1), gram)
         spread = hashes * np.uint64(0x94D049BB133111EB)
@@ -101,15 +121,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> Da
     )
 
 
-def _found_runs(length: int):
+def _found_runs(length: int, width: int):
     """Runs of every text; place is start * length + (stop - start). A run's digit and content hash, 128 bits, tell it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(2))
             for a, b in slices(texts):
-                doc, start, stop, digit = runs(texts[a:b], length)
-                one = np.array([xxhash.xxh3_64_intdigest(texts[a + d][s : e + length]) for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist())], dtype=np.uint64)
+                part = texts[a:b] if width == 1 else _packed_words(texts[a:b])
+                doc, start, stop, digit = runs(part, length, GRAM if width == 1 else WORD_GRAM, width)
+                one = np.array([xxhash.xxh3_64_intdigest(part[d][s * width : (e + length) * width]) for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist())], dtype=np.uint64)
                 pick = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start * length + stop - start, pa.int64()), pa.array(digit.view(np.int64)), pa.array(one.view(np.int64))],
@@ -119,8 +140,8 @@ def _found_runs(length: int):
     return find
 
 
-def _contents(length: int):
-    """The bytes of the runs that are asked for, from texts joined with lists of runs."""
+def _contents(length: int, width: int):
+    """The units of the runs that are asked for, from texts joined with lists of runs."""
 
     def emit(picked: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*picked))
@@ -132,8 +153,9 @@ def _contents(length: int):
             keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             picked, size = [], 0
             for i, (text, rows) in enumerate(zip(text_bytes(batch.column(3)), batch.column(4).to_pylist())):
+                text = text if width == 1 else _packed_words([text])[0]
                 for r in rows:
-                    picked.append((keys[i], hashes[i], r["start"], r["digit"], r["sure"], text[r["start"] : r["stop"] + length]))
+                    picked.append((keys[i], hashes[i], r["start"], r["digit"], r["sure"], text[r["start"] * width : (r["stop"] + length) * width]))
                     size += len(picked[-1][-1])
                 if size > 4_000_000:
                     yield emit(picked)
@@ -144,10 +166,10 @@ def _contents(length: int):
     return read
 
 
-def _windows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(contents: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in it, two hashes) of every window of the contents."""
-    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
-    sizes = np.array([len(c) for c in contents])
+    data = _units(contents, width)
+    sizes = np.array([len(c) // width for c in contents])
     counts = sizes - length + 1
     row = np.repeat(np.arange(len(contents)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -166,12 +188,12 @@ def _spans(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[new], place[new], place[np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)]
 
 
-def _compared(length: int, most: int = 1_000_000):
+def _compared(length: int, width: int, most: int = 1_000_000):
     """Repeated windows among runs sorted by digit; whole digits are gathered up to `most` bytes."""
 
     def judge(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        row, place, one, two = _windows(t.column("content").to_pylist(), length)
+        row, place, one, two = _windows(t.column("content").to_pylist(), length, width)
         order = np.lexsort((two, one))
         same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         again = np.zeros(len(row), dtype=bool)
@@ -207,11 +229,11 @@ def _compared(length: int, most: int = 1_000_000):
     return compare
 
 
-def _window_rows(length: int):
+def _window_rows(length: int, width: int):
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, place, one, two = _windows(batch.column(5).to_pylist(), length)
+                row, place, one, two = _windows(batch.column(5).to_pylist(), length, width)
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(batch.column(2).to_numpy()[row] + place, pa.int64()), batch.column(4).take(pick), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
@@ -229,9 +251,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _spans_of(_keyed(docs, id_col, text_col, [id_col]), length, runs_in_task)
 
 
-def _spans_of(keyed: DataFrame, length: int, runs_in_task: int) -> DataFrame:
+def _spans_of(keyed: DataFrame, length: int, runs_in_task: int, width: int = 1) -> DataFrame:
     spark = keyed.sparkSession
-    found = cut(keyed.select("key", "text_hash", "text").mapInArrow(_found_runs(length), "key long, text_hash long, place long, digit long, one long"))
+    found = cut(keyed.select("key", "text_hash", "text").mapInArrow(_found_runs(length, width), "key long, text_hash long, place long, digit long, one long"))
     run = ["digit", "one"]
     counts = found.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "place")).alias("sample"))
     digits = counts.groupBy("digit").agg(F.count("*").alias("different"), F.sum("n").alias("total")).filter("total > 1")
@@ -244,15 +266,15 @@ def _spans_of(keyed: DataFrame, length: int, runs_in_task: int) -> DataFrame:
         lists = asked.groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "stop", "digit", "sure")).alias("asked"))
         # all columns of keyed: then this shuffle of the texts also serves the join with the spans
         joined = keyed.join(lists.hint("shuffle_hash"), ["key", "text_hash"]).select("key", "text_hash", "row", "text", "asked")
-        return joined.mapInArrow(_contents(length), "key long, text_hash long, start long, digit long, sure boolean, content binary")
+        return joined.mapInArrow(_contents(length, width), "key long, text_hash long, start long, digit long, sure boolean, content binary")
 
     few = contents(open_runs.filter("not crowded"))
     n = parts_for(spark, open_runs.count(), 50_000)
     span = "key long, text_hash long, from long, to long"
-    spans = spans.unionByName(few.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(_compared(length), span))
+    spans = spans.unionByName(few.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(_compared(length, width), span))
     crowded = open_runs.filter("crowded")
     if not is_empty(crowded):
-        windows = contents(crowded).mapInArrow(_window_rows(length), "key long, text_hash long, from long, sure boolean, one long, two long")
+        windows = contents(crowded).mapInArrow(_window_rows(length, width), "key long, text_hash long, from long, sure boolean, one long, two long")
         again = windows.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1")
         spans = spans.unionByName(windows.filter("not sure").join(again, ["one", "two"]).select("key", "text_hash", "from", (F.col("from") + length).alias("to")))
     return spans
@@ -268,25 +290,32 @@ def _covered(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, others: list[str], length: int, runs_in_task: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, others: list[str], length: int, runs_in_task: int, width: int = 1) -> DataFrame:
     """row, text, spans of every row of docs."""
     keyed = _keyed(docs, id_col, text_col, others)
-    spans = _spans_of(keyed, length, runs_in_task)
+    spans = _spans_of(keyed, length, runs_in_task, width)
     lists = spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     return keyed.join(lists.hint("shuffle_hash"), ["key", "text_hash"], "left").select("row", "text", "spans")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK) -> DataFrame:
+def _bytes_of_words(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from the first byte of the first word to the last of the last."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[np.frombuffer(text, dtype=np.uint8)], [True]]).astype(np.int8)))
+    return [(int(edges[2 * a]), int(edges[2 * b - 1])) for a, b in spans]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK, words: bool = False) -> DataFrame:
     """docs with repeated strings cut out of text_col, and `removed_spans` array<struct<from, to>> (bytes).
 
     Every byte covered by a `length`-byte string of the UTF-8 text that also
     starts anywhere else, in the same or another row, is removed; matches never
     cross rows and are judged on the input. A code point whose bytes are cut
     apart is dropped from the text. Null texts stay null, with no spans. Other
-    columns pass unchanged, whatever their names.
+    columns pass unchanged, whatever their names. words: length counts words
+    (`[^\\x20\\x09-\\x0D]+`), whatever white space is between them; spans are in bytes still.
     """
     names = docs.columns
-    joined = _joined(docs, id_col, text_col, [c for c in names if c != text_col], length, runs_in_task)
+    joined = _joined(docs, id_col, text_col, [c for c in names if c != text_col], length, runs_in_task, WORD_WIDTH if words else 1)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,6 +323,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out, gone = [], []
             for t, s in zip(texts, lists):
                 cutting = _covered(s)
+                if words and cutting:
+                    cutting = _bytes_of_words(t.encode(), cutting)
                 gone.append([{"from": a, "to": b} for a, b in cutting])
                 if t is not None and cutting:
                     t = b"".join(_kept(t.encode(), cutting)).decode("utf-8", "ignore")

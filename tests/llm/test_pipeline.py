@@ -43,3 +43,17 @@ def test_run_and_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_short_words_repeat(spark):
+    """A passage of 51 words and 260 bytes goes, one of 50 words stays."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage, less = (" ".join(word(4 + (i < extra)) for i in range(n)) for n, extra in ((51, 6), (50, 0)))
+    assert len(passage) == 260
+    own = [" ".join(word(5) for _ in range(40)) for _ in range(8)]
+    texts = [f"{own[2 * i]} {(passage, passage.replace(' ', '  '), less, less)[i]} {own[2 * i + 1]}" for i in range(4)]
+    docs = spark.createDataFrame([(i, t, "aa", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeat_removal(spark, docs, "").collect()}
+    assert [got[i].text.split() for i in (0, 1)] == [f"{own[2 * i]} {own[2 * i + 1]}".split() for i in (0, 1)]
+    assert [got[i].text for i in (2, 3)] == texts[2:] and all(r.n_chars == len(r.text) for r in got.values())

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from kartoteka.llm.suffix import remove_repeats, repeat_report
@@ -62,3 +63,27 @@ def test_removes_text_and_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert repeat_report(frame(spark, []), length=50).collect() == []
+
+
+def test_words_as_units(spark):
+    """Windows of 51 words against brute force, in texts with few words, so that runs share digits and differ."""
+    rng = random.Random(7)
+    text = lambda n, words: "".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(n))
+    many, few = [f"w{i}é" for i in range(400)], ["a", "bb"]
+    shared = [text(n, many).split() for n in (50, 51, 52, 80)]
+    texts = [None, "", "a " * 200, text(300, few), text(300, few)]
+    for i in range(24):
+        passage = shared[i % 4]
+        lo = rng.randint(0, 5) if len(passage) == 80 else 0
+        texts.append(text(rng.randint(0, 60), many) + rng.choice([" ", "\t"]).join(passage[lo:]) + " " + text(rng.randint(0, 60), many))
+    lists = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in lists for i in range(len(w) - 50))
+    want = []
+    for words in lists:
+        gone = {j for i in range(len(words) - 50) if seen[tuple(words[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want.append([w for j, w in enumerate(words) if j not in gone])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (5_000, 1):
+        got = {r.doc_id: r.text for r in remove_repeats(docs, length=51, runs_in_task=most, words=True).collect()}
+        assert got[0] is None
+        assert [re.findall("[^\x20\x09-\x0d]+", got[i] or "") for i in range(len(texts))] == want

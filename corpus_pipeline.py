@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import cut, prepare, release, table, written
+from kartoteka.llm.common import cut, is_empty, prepare, release, table, written
 from kartoteka.llm.language import UNKNOWN, identify_language
 from kartoteka.llm.minhash import near_duplicates
 from kartoteka.llm.mixing import mix
@@ -30,11 +30,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies (Jaccard 0.8 of five-word shingles)."""
+    """Keeps one row of each group of near copies (Jaccard 0.8 of five-word shingles): that of least id, null last.
+
+    Rows are told apart by a hash of all their columns, so ids may be null or
+    tied. Of rows that agree in all columns one stays. Rows without a word are
+    no copies of anything and all stay.
+    """
     prepare(spark)
-    kept = cut(near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    rows = near_duplicates(keyed, id_col="_row", percent=80).groupBy("_row").agg(F.first("component_id").alias("component"), (F.first("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
+    ids = keyed.groupBy("_row").agg(F.first("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row", (F.col("words") & (F.col("n") > 1)).alias("again"))
+    kept = rows.join(ids, "_row").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_kept"), "least.again")
+    kept = cut(kept)
     release(spark)  # what the search has shuffled, before the texts are
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    again = kept.filter("again")
+    if is_empty(again):
+        return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    once = keyed.join(kept.filter("not again"), F.col("_row") == F.col("_kept"), "left_semi")
+    return once.unionByName(keyed.join(again, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

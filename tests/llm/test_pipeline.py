@@ -57,3 +57,21 @@ def test_short_words_repeat(spark):
     got = {r.doc_id: r for r in corpus_pipeline.repeat_removal(spark, docs, "").collect()}
     assert [got[i].text.split() for i in (0, 1)] == [f"{own[2 * i]} {own[2 * i + 1]}".split() for i in (0, 1)]
     assert [got[i].text for i in (2, 3)] == texts[2:] and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, tied ids and null ids: one row of a group stays, and repeat_removal leaves its text."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"word{rng.randint(0, 500)}" for _ in range(120))
+    t = [text() for _ in range(6)]
+    rows = [(1, t[0], "a")] * 3  # repeated rows
+    rows += [(2, t[1], "a"), (2, t[1] + " tail", "b"), (2, t[2], "a")]  # one id: two near copies and a text of its own
+    rows += [(None, t[3], "a"), (None, t[3], "b"), (None, t[3], None), (None, t[4], "a")]  # null ids
+    rows += [(3, t[4], "a"), (None, t[5], "a"), (None, t[5], "a"), (9, "", "a"), (9, "", "a")]
+    docs = spark.createDataFrame([(i, x, "aa", s, len(x)) for i, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").cache()
+    got = [(r.doc_id, r.text.removesuffix(" tail")) for r in kept.collect()]
+    want = [(1, t[0]), (2, t[1]), (2, t[2]), (None, t[3]), (3, t[4]), (None, t[5]), (9, ""), (9, "")]
+    assert sorted(got, key=str) == sorted(want, key=str) and kept.columns == docs.columns
+    whole = [r.text for r in corpus_pipeline.repeat_removal(spark, kept, "").collect()]
+    assert sorted(x.removesuffix(" tail") for x in whole) == sorted(x for _, x in want)

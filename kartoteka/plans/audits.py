@@ -112,6 +112,17 @@ def accepted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.accepted_sources(links.filter("not url rlike '(?i)^https?://m[.]'"), "query").select("query", "host", "place", "url")
 
 
+@query(r"""
+WITH u AS (SELECT page_id % 5 AS query, page_id AS place,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&])(?:utm_[a-z]+|gclid|yclid|fbclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url FROM pages),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^(?:https?)://([^/:?#]+)', 1)), '^www\.', '') AS host FROM u)
+SELECT query, host, place, url FROM h WHERE regexp_matches(url, '^https?://[^/]+/.+') AND host <> '' QUALIFY row_number() OVER (PARTITION BY query, host ORDER BY place) = 1
+""")
+def accepted_sources_of_all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query"), F.col("page_id").alias("place"), "url")
+    return web.accepted_sources(links, "query").select("query", "host", "place", "url")
+
+
 @query(f"""
 WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)) AS url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS t FROM pages)
 SELECT page_id, url, {_strip_sql('t')} AS title, count(*) AS cnt FROM l GROUP BY ALL

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from kartoteka import plans
 from kartoteka.operators import audit, derive
 from kartoteka.sources import web
 
@@ -32,3 +33,10 @@ def test_filter_maps_and_sizes(spark):
     assert got == {1: {"a": ["x"]}, 2: None}
     sizes = spark.range(1).select(derive.size_of_axes(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("a"), derive.size_of_axes(F.lit(1.0), F.lit(None).cast("double"), F.lit(3.0)).alias("b")).first()
     assert tuple(sizes.a) == (1.0, 2.0, 3.0) and sizes.b is None
+
+
+def test_mobile_hosts_are_judged(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    mobile = {r.page_id for r in pages.filter("url rlike '^https?://m[.]'").select("page_id").collect()}
+    got = {r.place for r in plans.QUERIES["accepted_sources_of_all_hosts"](spark, "/root/testdata/sf0.001").collect()}
+    assert mobile & got

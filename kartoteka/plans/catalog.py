@@ -294,6 +294,28 @@ def matched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms.withColumn("order", F.lit(0)), barred, least=1.01)
 
 
+@query(f"""
+WITH k AS (SELECT DISTINCT p_name AS key FROM part),
+s AS (SELECT left(p_name, length(p_name) - 1) AS synonym, p_name AS code, 3 * min(p_partkey) AS o FROM part GROUP BY p_name UNION ALL SELECT p_name, p_name, 3 * min(p_partkey) + 1 FROM part WHERE p_size < 5 GROUP BY p_name
+    UNION ALL SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), p_name, 3 * min(p_partkey) + 2 FROM part WHERE p_size < 8 GROUP BY p_name),
+e AS (SELECT key, arg_min(code, o) AS code, 'exact' AS how FROM k JOIN s ON key = synonym GROUP BY key),
+b AS (SELECT key, arg_min(code, o) AS code, 'words' AS how FROM k JOIN s ON list_sort(list_distinct(string_split(key, ' '))) = list_sort(list_distinct(string_split(synonym, ' '))) WHERE key NOT IN (SELECT key FROM e) GROUP BY key),
+l AS (SELECT key, NULL AS code, 'blacklist' AS how FROM k WHERE key NOT IN (SELECT key FROM e UNION ALL SELECT key FROM b) AND (key LIKE '% bolt' OR key = 'bolt' OR key LIKE 'bolt %')),
+r AS (SELECT key, length(t) AS len, {_GRAMS_SQL} AS g FROM (SELECT key, lower(key) AS t FROM k) WHERE key NOT IN (SELECT key FROM e UNION ALL SELECT key FROM b UNION ALL SELECT key FROM l)),
+sg AS (SELECT code, o, length(t) AS len, {_GRAMS_SQL} AS g FROM (SELECT *, lower(synonym) AS t FROM s)),
+p AS (SELECT key, code, o, 2 * len(list_intersect(r.g, sg.g)) / (len(r.g) + len(sg.g))::DOUBLE AS likeness FROM r, sg WHERE abs(r.len - sg.len) <= 12),
+f AS (SELECT key, code, 'fuzzy' AS how FROM p WHERE likeness >= 0.82 QUALIFY row_number() OVER (PARTITION BY key ORDER BY likeness DESC, o) = 1)
+SELECT key, code, coalesce(how, 'unmapped') AS how FROM k LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM l UNION ALL SELECT * FROM f) USING (key)
+""")
+def likely_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    kinds = [(part, F.expr("left(p_name, length(p_name) - 1)")), (part.filter("p_size < 5"), F.col("p_name")), (part.filter("p_size < 8"), turned)]
+    synonyms = [rows.groupBy("p_name").agg((3 * F.min("p_partkey") + i).alias("order")).select(name.alias("synonym"), F.col("p_name").alias("code"), "order") for i, (rows, name) in enumerate(kinds)]
+    barred = spark.range(1).select(F.lit("bolt").alias("phrase"))
+    return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms[0].unionByName(synonyms[1]).unionByName(synonyms[2]), barred)
+
+
 @query("""
 WITH b AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS brand FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size < 10)
 SELECT p_partkey, p_name, (SELECT max_by(brand, length(brand)) FROM b WHERE b.brand = p_name OR b.brand = split_part(p_name, ' ', 1) OR b.brand = split_part(p_name, ' ', 2)) AS brand FROM part

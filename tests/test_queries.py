@@ -35,3 +35,7 @@ def test_query(spark, duck, name):
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in con.fetchall())
     assert sorted(names) == columns
     assert got == want
+
+
+def test_likely_keys_come_through_the_fuzzy_step(spark):
+    assert {"exact", "words", "blacklist", "fuzzy", "unmapped"} >= (how := {r.how for r in plans.QUERIES["likely_keys"](spark, SF).collect()}) >= {"exact", "fuzzy"}, how

@@ -41,13 +41,14 @@ def measure_mismatches(texts: DataFrame, id_col: str, text_col: str, facts: Data
     return nearest.filter(~agrees(F.col("number"), F.col("fact"), least, relative))
 
 
-def value_claims(texts: DataFrame, id_col: str, text_col: str, aliases: DataFrame, most_words: int = 4) -> DataFrame:
+def value_claims(texts: DataFrame, id_col: str, text_col: str, aliases: DataFrame) -> DataFrame:
     """(id, code, canon): dictionary values that texts name and do not deny.
 
-    aliases: code, alias, canon. Phrases of up to `most_words` words meet
-    aliases in an equi-join; a phrase inside a longer known one does not count,
+    aliases: code, alias, canon. Phrases of up to as many words as the longest
+    alias has meet aliases in an equi-join; a phrase inside a longer known one does not count,
     nor one after a word of denial.
     """
+    most_words = aliases.agg(F.max(F.size(F.split(norm_key(F.col("alias")), " ")))).first()[0] or 1
     words = F.split(norm_key(F.col(text_col)), " ")
     spots = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("phrase"), F.get(words, i - 2).alias("before")))))
     said = texts.select(F.col(id_col).alias("id"), F.explode(spots).alias("s")).select("id", "s.*")

@@ -26,7 +26,7 @@ def fill_defaults(facts: DataFrame, products: DataFrame, defaults: DataFrame) ->
     defaults: code, value. Each product meets each default once; the expected
     pairs grow with products times a dictionary of a few dozen rows.
     """
-    offered = products.select("id").crossJoin(F.broadcast(defaults.select("code", F.col("value").alias("_default")).limit(1000)))
+    offered = products.select("id").crossJoin(defaults.select("code", F.col("value").alias("_default")))
     joined = facts.select("id", "code", "value").join(offered, ["id", "code"], "full")
     origin = F.when(F.col("value").isNotNull(), "fact").when(F.col("_default").isNotNull(), "default")
     return joined.select("id", "code", F.coalesce("value", "_default").alias("value"), origin.alias("origin"))

@@ -65,7 +65,8 @@ def listing_items(pages: DataFrame, html: str = "html") -> DataFrame:
         shown = strip_html(F.regexp_extract("block", f"{tag}>([^<]*)", 1))
         return F.coalesce(F.nullif(squeeze(decode_entities(held)), F.lit("")), F.nullif(shown, F.lit("")))
 
-    blocks = F.slice(F.split(html, "(?i)(?=<[a-z]+[^>]*itemtype=[\"']https?://schema\\.org/Product[\"'])"), 2, 100_000)
+    parts = F.split(html, "(?i)(?=<[a-z]+[^>]*itemtype=[\"']https?://schema\\.org/Product[\"'])")
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     kept = [c for c in pages.columns if c != html]
     rows = pages.select(*kept, F.posexplode(blocks).alias("place", "block"))
     return rows.select(

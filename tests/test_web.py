@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from kartoteka import plans
 from kartoteka.operators import audit, derive
 from kartoteka.sources import web
+from kartoteka.sources.products import listing_items
 
 
 def test_links_and_hosts(spark):
@@ -40,3 +41,14 @@ def test_mobile_hosts_are_judged(spark):
     mobile = {r.page_id for r in pages.filter("url rlike '^https?://m[.]'").select("page_id").collect()}
     got = {r.place for r in plans.QUERIES["accepted_sources_of_all_hosts"](spark, "/root/testdata/sf0.001").collect()}
     assert mobile & got
+
+
+def test_nothing_ends_at_a_bound(spark):
+    defaults = spark.range(1200).select(F.col("id").cast("string").alias("code"), F.lit("d").alias("value"))
+    facts = spark.createDataFrame([(1, "0", "f")], "id long, code string, value string")
+    assert derive.fill_defaults(facts, spark.range(1, 3), defaults).count() == 2400
+    texts = spark.createDataFrame([(1, "a b c d e f g")], "id int, text string")
+    aliases = spark.createDataFrame([("k", "b c d e f", "long")], "code string, alias string, canon string")
+    assert [tuple(r) for r in audit.value_claims(texts, "id", "text", aliases).collect()] == [(1, "k", "long")]
+    page = "<html>" + '<p itemtype="https://schema.org/Product">' * 100_002
+    assert listing_items(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")).select("place").count() == 100_002

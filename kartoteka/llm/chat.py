@@ -47,7 +47,10 @@ def fold_events(events: DataFrame) -> DataFrame:
     drops it unless a later event sets it again. Its place is its first event,
     its role the last one given. Events without a message id are messages of
     their own. Unknown kinds are ignored; null texts are empty. Events that
-    agree in sequence number are ordered by kind and text.
+    agree in sequence number are ordered by kind and text. seq may be of any
+    type with an order. Other columns of any name are not looked at. Deltas of a
+    message are joined before a conversation's messages are brought together, so
+    a hot conversation's events are folded by many tasks.
     """
     own = events.filter("message_id is null and coalesce(kind, '') in ('message', 'edit', 'regenerate', 'delta')")
     own = own.select("conv_id", F.col("seq").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -97,8 +100,27 @@ def format_chats(events: DataFrame) -> DataFrame:
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """Rows of whole turns (conv_id, turn, role, text) as an event log; each row is a message of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    """Rows of whole turns (conv_id, turn, role, text) as the event log that a chat service would have kept of them.
+
+    A user's turn opens with its first half and streams the rest; an
+    assistant's streams its first half, is regenerated with that half and
+    streams the rest; any other turn opens as a draft that an edit replaces.
+    seq is the turn (null last), then the event's place in it. Every row is a
+    message of its own, so repeated rows are repeated turns.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.left(text, half), F.substr(text, half + 1)
+    event = lambda step, kind, x: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), x.alias("said"))
+    log = (
+        F.when(F.col("role") == "user", F.array(event(0, "message", first), event(1, "delta", rest)))
+        .when(F.col("role") == "assistant", F.array(event(0, "message", F.lit("")), event(1, "delta", first), event(2, "regenerate", first), event(3, "delta", rest)))
+        .otherwise(F.array(event(0, "message", first), event(1, "edit", text)))
+    )
+    rows = conversations.select("conv_id", "turn", "role", log.alias("log"), F.monotonically_increasing_id().alias("message_id"))
+    rows = rows.select("conv_id", "turn", "role", "message_id", F.explode("log").alias("e"))
+    seq = F.struct(F.col("turn").isNull().alias("no_turn"), F.col("turn").alias("turn"), F.col("e.step").alias("step"))
+    return rows.select("conv_id", seq.alias("seq"), F.col("e.kind").alias("kind"), "message_id", "role", F.col("e.said").alias("text"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

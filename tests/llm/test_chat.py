@@ -41,3 +41,15 @@ def test_round_trip(spark):
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert read_back(format_chats(turns_as_events(df.limit(0)))).count() == 0
+
+
+def test_turns_come_through_the_fold(spark):
+    """Each turn of a table is a log with deltas, edits and regenerations, of which the plan folds every row."""
+    rows = [(1, 0, "user", "abc"), (1, 1, "assistant", "defgh"), (1, 2, "system", "x"), (1, None, "user", "late"), (1, 0, "user", "abc")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9)).withColumn("kind", F.lit("delete")).withColumn("message_id", F.lit("m"))
+    log = turns_as_events(df)
+    kinds = {(r.role, r.kind): r.n for r in log.groupBy("role", "kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {("user", "message"): 3, ("user", "delta"): 3, ("assistant", "message"): 1, ("assistant", "delta"): 2, ("assistant", "regenerate"): 1, ("system", "message"): 1, ("system", "edit"): 1}
+    assert log.filter("message_id is null").count() == 0
+    turns = format_chats(log).select(parse(F.col("formatted")).alias("turns")).first().turns
+    assert [tuple(t) for t in turns] == [("user", "abc"), ("user", "abc"), ("assistant", "defgh"), ("system", "x"), ("user", "late")]

@@ -1,12 +1,13 @@
 """I-Match fingerprints over an inverse-document-frequency band.
 
 The lexicon holds the terms whose share of documents lies in a band: neither
-everywhere nor next to nowhere. A fingerprint hashes a document's distinct
-lexicon terms, sorted, under several randomised subsets of the lexicon. Each
-subset comes in nested sizes, halving each time, and a document uses the
-smallest one that still meets it, so short and long texts alike hash a term or
-two per subset and a local edit changes only some of the hashes. Likeness is
-the share of equal hashes.
+everywhere nor next to nowhere. Random subsets of it are fixed by seeds, each in
+several densities, from a quarter of the lexicon to a four-thousandth. A fingerprint
+holds, for every subset, a hash of the document's distinct sorted terms that lie
+in it, 0 where there are none. A dense subset tells short texts apart, a sparse
+one survives edits of long texts: likeness compares two fingerprints at the
+sparsest density that still meets the texts often enough, and is the share of
+equal hashes there.
 """
 
 from __future__ import annotations
@@ -15,16 +16,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm.common import as_long, mix64, parts_for, seeded, slices, text_bytes, word_hashes
 
-#: Band of the share of documents that hold a term, subsets, and terms below which a document's own terms are used.
-LOW, HIGH, SUBSETS, FEWEST = 0.0005, 0.2, 32, 3
-#: The lexicon has at most (mean distinct terms of a document) / LOW terms; beyond this many LOW is doubled until it fits.
+#: Band of the share of documents that hold a term, and terms below which a document's own terms are used.
+LOW, HIGH, FEWEST = 0.0005, 0.2, 3
+#: Random subsets of each density; density d holds each term with probability 4 ** -(d + 1).
+SUBSETS, DENSITIES = 64, 6
+#: Subsets that must meet either of two texts before a density tells their likeness.
+TELLING = 16
+#: Terms of the largest lexicon that is sent to the workers, eight bytes each; a larger one is an error.
+#: By its band a lexicon has at most (mean distinct terms of a document) / LOW terms, however many documents there are.
 LEXICON = 4_000_000
+#: Rows of a bucket of neighbouring documents and buckets at most; larger tables get larger buckets, which are streamed.
+BUCKET_ROWS, BUCKETS = 20_000, 50_000
 _SEEDS = seeded(51, 256)
 
 
@@ -71,19 +80,24 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = LEXICON) -> np.ndarray:
-    """The sorted terms of the band. Its size is checked before any of it leaves the executors."""
+    """The sorted terms of the band. Its size is checked before any of it leaves the executors.
+
+    The band is the same at every size of the table. More than `most` terms are
+    an error, never a smaller lexicon; raise `most` or `low` on purpose then.
+    """
     rows = docs.count()
-    counted = document_frequencies(docs, text_col).filter((F.col("df") >= low * rows) & (F.col("df") <= max(high * rows, 1)))
-    kept = counted.persist()
-    while kept.filter(F.col("df") >= low * rows).count() > most:
-        low *= 2
-    terms = kept.filter(F.col("df") >= low * rows).select("term").toArrow().column(0).to_numpy()
-    kept.unpersist()
+    band = document_frequencies(docs, text_col).filter((F.col("df") >= low * rows) & (F.col("df") <= max(high * rows, 1))).select("term").persist()
+    size = band.count()
+    if size > most:
+        band.unpersist()
+        raise ValueError(f"the lexicon has {size} terms, more than the {most} that workers may hold: documents have over {int(most * low)} distinct terms on average")
+    terms = band.toArrow().column(0).to_numpy()
+    band.unpersist()
     return np.sort(terms.astype(np.int64).view(np.uint64))
 
 
-def fingerprints(texts: list[bytes], terms: np.ndarray, subsets: int = SUBSETS) -> np.ndarray:
-    """texts x subsets: 24-bit hashes; 0 in a text without terms."""
+def fingerprints(texts: list[bytes], terms: np.ndarray, subsets: int = SUBSETS, densities: int = DENSITIES) -> np.ndarray:
+    """texts x subsets x densities: 12-bit hashes of each text's terms in each subset, 0 where it has none."""
     words, first = _distinct_terms(texts)
     at = np.searchsorted(terms, words)
     known = np.zeros(len(words), dtype=bool)
@@ -93,28 +107,41 @@ def fingerprints(texts: list[bytes], terms: np.ndarray, subsets: int = SUBSETS)
     enough = np.bincount(doc[known], minlength=len(texts)) >= FEWEST
     use = known | ~enough[doc]
     words, doc = words[use], doc[use]
-    out = np.zeros((len(texts), subsets), dtype=np.uint32)
-    filled, begin = np.unique(doc, return_index=True)
-    if not len(filled):
-        return out
-    sizes = np.diff(np.append(begin, len(doc)))
+    out = np.zeros((len(texts), subsets, densities), dtype=np.uint16)
     with np.errstate(over="ignore"):
         for k in range(subsets):
-            v = mix64(words ^ _SEEDS[k])
-            least = np.minimum.reduceat(v, begin)
-            for shift in (1, 2, 4, 8, 16, 32):
-                least = least | (least >> np.uint64(shift))
-            hashes = np.where(v <= np.repeat(least, sizes), mix64(v + _SEEDS[k + 64]), np.uint64(0))
-            out[filled, k] = (mix64(np.add.reduceat(hashes, begin)) >> np.uint64(40)).astype(np.uint32) | np.uint32(1)
+            place = mix64(words ^ _SEEDS[k])
+            own, held = np.flatnonzero(place < np.uint64(1 << 62)), doc
+            for d in range(densities):
+                own = own[place[own] >> np.uint64(62 - 2 * d) == 0]
+                if not len(own):
+                    break
+                held = doc[own]
+                begin = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+                # terms are distinct and sorted; a sum of mixed hashes is that of their set
+                total = mix64(np.add.reduceat(mix64(place[own] + _SEEDS[k + 128]), begin))
+                out[held[begin], k, d] = 1 + (total >> np.uint64(40)) % np.uint64(4095)
     return out
 
 
+_HEX = np.array([f"{i:03x}" for i in range(4096)], dtype="S3")
+
+
 def as_text(row: np.ndarray) -> str:
-    return "".join(f"{x:06x}" for x in row.tolist())
+    return _HEX[row.reshape(-1)].tobytes().decode()
+
+
+def from_text(fingerprint: str, subsets: int = SUBSETS, densities: int = DENSITIES) -> np.ndarray:
+    return np.array([int(fingerprint[i : i + 3], 16) for i in range(0, len(fingerprint), 3)], dtype=np.uint16).reshape(subsets, densities)
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """id and fingerprint (6 hex digits per subset) of every row; null texts are empty."""
+    """id and fingerprint (three hex digits per subset and density) of every row.
+
+    Null and empty texts have the fingerprint of zeros; repeated rows and ids
+    give repeated rows, a null id stays null, an empty table gives none. Texts
+    are read whole, a slice of rows or one longer text at a time.
+    """
     words = lexicon(docs, text_col) if terms is None else terms
     held = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -127,34 +154,62 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, fingerprint string")
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal hashes of two fingerprints, row by row."""
-    return (a == b).mean(axis=-1)
+def likeness(a: np.ndarray, b: np.ndarray, telling: int = TELLING) -> np.ndarray:
+    """Share of equal hashes of two rows of fingerprints, at the sparsest density where `telling` subsets meet either text.
+
+    Two fingerprints without a term are alike.
+    """
+    met = ((a > 0) | (b > 0)).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    density = np.maximum((met >= telling).sum(axis=1) - 1, 0)  # met falls from density to density
+    row = np.arange(len(met))
+    return np.where(met[row, density] > 0, same[row, density] / np.maximum(met[row, density], 1), 1.0)
+
+
+def _bounds(rows: DataFrame, n: int) -> np.ndarray:
+    """The least (place, h) of each of about n ranges of the rows, ascending: at most BUCKETS pairs of longs."""
+    ranges = rows.select("place", "h").repartitionByRange(n, "place", "h").groupBy(F.spark_partition_id().alias("range"))
+    least = ranges.agg(F.min(F.struct("place", "h")).alias("least")).select("least.place", "least.h").toArrow()
+    pairs = np.stack([least.column(c).to_numpy() for c in (0, 1)], axis=1).astype(np.int64)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+
+
+def _bucket_of(bounds: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's bucket, the last whose bound is not above it, and whether the row equals that bound."""
+    low, high = (np.searchsorted(bounds[:, 0], place, side=s) for s in ("left", "right"))
+    bucket = high - 1
+    for u in np.unique(place[high > low]):  # places that several bounds may share are told apart by h
+        own, a, b = np.flatnonzero(place == u), np.searchsorted(bounds[:, 0], u), np.searchsorted(bounds[:, 0], u, side="right")
+        bucket[own] = a - 1 + np.searchsorted(bounds[a:b, 1], h[own], side="right")
+    return bucket, (bounds[bucket, 0] == place) & (bounds[bucket, 1] == h)
 
 
 def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in buckets of neighbouring descending ids, each followed by the first row of the next bucket.
 
-    Bounds come from the ids' quantiles; only they and the buckets' first ids,
-    a few numbers a partition, pass through the driver.
+    Buckets are ranges of (id, text hash), so rows that share an id spread. The
+    first row of a bucket is its bound and is dealt to the bucket before it too.
     """
     spark = docs.sparkSession
     place = -F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.col(text_col).cast("string").alias("text"))
-    n = parts_for(spark, rows.count(), 20_000)
-    quantiles = rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first().q or []
-    bounds = sorted(set(quantiles))
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>"), lambda b: b <= F.col("place")))
-    rows = rows.withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.min("place").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    guest_of = F.element_at(F.create_map(*[F.lit(x).cast(t) for head, b in before.items() for x, t in ((head, "long"), (b, "int"))]), F.col("place")) if before else F.lit(None).cast("int")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(guest_of.alias("bucket"), F.lit(True).alias("guest"))
-    dealt = rows.withColumn("to", F.explode(F.when(guest_of.isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select("id", "text", F.col("to.bucket").alias("bucket"), F.col("to.guest").alias("guest"), "place")
-    dealt = dealt.repartitionById(max(1, len(heads) and heads[-1][0] + 1), "bucket") if hasattr(dealt, "repartitionById") else dealt.repartition(n, "bucket")
-    return dealt.sortWithinPartitions("bucket", "guest", "place", F.xxhash64("text"), "text")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.xxhash64(text).alias("h"), text.alias("text"))
+    n = min(parts_for(spark, rows.count(), BUCKET_ROWS), BUCKETS)
+    found = _bounds(rows, n)
+    if not len(found):
+        return rows.withColumns({"bucket": F.lit(0), "guest": F.lit(False)})
+    bounds, most = spark.sparkContext.broadcast(found), len(found)
+
+    @F.pandas_udf("long")
+    def placed(place: pd.Series, h: pd.Series) -> pd.Series:
+        bucket, first = _bucket_of(bounds.value, place.to_numpy(), h.to_numpy())
+        return pd.Series(2 * bucket + first)
+
+    own = F.struct(F.floor(F.col("code") / 2).cast("int").alias("bucket"), F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.floor(F.col("code") / 2) - 1, F.lit(most)).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("code", placed("place", "h")).withColumn("to", F.explode(F.when(F.col("code") % 2 == 1, F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select("id", "text", "to.bucket", "to.guest", "place", "h").repartition(n, "bucket")
+    return dealt.sortWithinPartitions("bucket", "guest", "place", "h", "text")
 
 
 def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +217,10 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has its last floor(n_chars / 3) code points replaced by the
     first as many of the next row by descending id (nulls last, equal ids by
-    text hash and text; after the last row the first one). Null texts are empty.
+    text hash and text; after the last row the first one). Null texts are empty
+    and like each other. Texts are read whole, a million code points or one
+    longer text at a time. Every row gives one row, repeated ones too; an empty
+    table gives none, other columns of any name are not looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col))
 

@@ -1,17 +1,21 @@
 """Removal of long repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart by most-significant-digit passes and never beyond the
-threshold, so equal groups are exactly the repeated windows. Three passes do it:
-
-1. The digit of a window is the q-gram with the least hash inside it, so equal
-   windows always meet. Neighbouring windows mostly share that q-gram; such a
-   run of windows is one record. A digit that occurs once ends its run: none of
-   its windows is repeated.
+Suffixes are split into groups by most-significant-digit passes and never beyond
+the threshold, so the groups that are left are exactly the repeated windows.
+
+1. The first pass is over a sample of the suffixes, since all of them would
+   shuffle several times the input: those that start at the q-gram of least hash
+   of some window. Equal windows hold the same one at the same place, so no
+   repeat is missed. The digit is the q-gram, the suffix's leading bytes. The
+   windows that share it are neighbours; such a run of windows is one record. A
+   digit that occurs once ends its run: none of its windows is repeated.
 2. The digit is the whole content of the run. Runs that occur twice or more are
    repeated in full, however many copies there are; only counts are shuffled.
-3. What is left, runs that share a q-gram but differ elsewhere, is compared
-   window by window over all `length` bytes. A q-gram with very many different
-   runs goes through a grouped count of windows, so no task gathers it.
+3. What is left, runs that share a q-gram but differ elsewhere, is sorted as
+   suffixes: window by window, eight leading bytes after eight, groups split at
+   each pass, suffixes alone in their group set aside, up to `length` bytes.
+   A q-gram with very many different runs goes through a grouped count of
+   windows, so no task gathers it.
 
 The units are bytes, or words: then a text is the string of its words' 64-bit
 hashes, `width` is 8, and places and lengths count words.
@@ -32,6 +36,8 @@ from kartoteka.llm.common import SPACE, cut, is_empty, mix64, parts_for, powers,
 
 #: Bytes of the first digit, and different runs of one digit that a task compares at most.
 GRAM, RUNS_IN_TASK = 40, 5_000
+#: Runs with more than this part of all records are counted as hot; so there are at most as many.
+HOT_RUNS = 1_000
 #: Where words are the units: words of the first digit, and bytes of a unit (a word's hash).
 WORD_GRAM, WORD_WIDTH = 8, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -166,19 +172,83 @@ def _contents(length: int, width: int):
     return read
 
 
-def _windows(contents: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in it, two hashes) of every window of the contents."""
+def _places(contents: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of all contents in a row, and (content, place in it, place in the row) of every window."""
     data = _units(contents, width)
     sizes = np.array([len(c) // width for c in contents])
     counts = sizes - length + 1
     row = np.repeat(np.arange(len(contents)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(np.cumsum(sizes) - sizes, counts) + place
+    return data, row, place, np.repeat(np.cumsum(sizes) - sizes, counts) + place
+
+
+def _windows(contents: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, two hashes) of every window of the contents."""
+    data, row, place, at = _places(contents, length, width)
     with np.errstate(over="ignore"):
         one, two = (_window_hash(_rolling(data, i), at, length) for i in (0, 1))
     return row, place, one, two
 
 
+def _digits(data: np.ndarray, length: int) -> tuple[np.ndarray, list[int]]:
+    """The digit that starts at each place (eight bytes, the first most significant, or a unit), and the depths to read one at."""
+    if data.dtype != np.uint8:
+        return data, list(range(length))
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(7, np.uint8)), 8)
+    words = np.ascontiguousarray(eight).view(">u8")[:, 0].astype(np.uint64)
+    if length < 8:
+        return words >> np.uint64(8 * (8 - length)), [0]
+    return words, [*range(0, length - 8, 8), length - 8]
+
+
+def repeated_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at places `at` equal another one, by most-significant-digit passes.
+
+    `order` holds the windows still in question, each group in one piece. In a
+    pass the windows with the digit of their group's middle one stay together in
+    front, the others are sorted behind them, and windows left alone are dropped.
+    """
+    words, depths = _digits(data, length)
+    again = np.zeros(len(at), dtype=bool)
+    if len(at) < 2:
+        return again
+    rank = np.unique(words, return_inverse=True)[1]  # digits as small numbers in the same order
+    bits = int(rank.max()).bit_length()
+    order, begin = np.arange(len(at)), np.zeros(1, np.int64)
+    for depth in depths:
+        if not len(order):
+            break
+        digit = rank[at[order] + depth]
+        sizes = np.diff(np.append(begin, len(order)))
+        same = digit == np.repeat(digit[begin + sizes // 2], sizes)
+        rest = np.flatnonzero(~same)
+        if not len(rest):
+            continue
+        first = np.repeat(begin, sizes)  # of each window's group
+        sort = rest[np.argsort(first[rest] << bits | digit[rest])]
+        front = np.cumsum(same)
+        front_of = lambda i: np.where(i > 0, front[i - 1], 0)
+        ahead = front_of(begin)
+        in_front = np.add.reduceat(same.astype(np.int64), begin)
+        place = np.empty(len(order), dtype=np.int64)
+        kept = np.flatnonzero(same)
+        group = np.repeat(np.arange(len(begin)), sizes)
+        place[kept] = first[kept] + front[kept] - 1 - ahead[group[kept]]
+        g = group[sort]
+        place[sort] = begin[g] + in_front[g] + np.arange(len(sort)) - (begin - ahead)[g]
+        moved = np.empty_like(order)
+        moved[place] = order
+        new = np.zeros(len(order), dtype=bool)
+        new[begin] = True
+        new[place[sort]] = np.append(True, (g[1:] != g[:-1]) | (digit[sort[1:]] != digit[sort[:-1]]))
+        begin = np.flatnonzero(new)
+        sizes = np.diff(np.append(begin, len(order)))
+        shared = np.repeat(sizes > 1, sizes)
+        order, begin = moved[shared], np.flatnonzero(new[shared])
+    again[order] = True
+    return again
+
+
 def _spans(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of neighbouring places within a row: (row, first, last)."""
     if not len(row):
@@ -193,12 +263,8 @@ def _compared(length: int, width: int, most: int = 1_000_000):
 
     def judge(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        row, place, one, two = _windows(t.column("content").to_pylist(), length, width)
-        order = np.lexsort((two, one))
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        again = np.zeros(len(row), dtype=bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
+        data, row, place, at = _places(t.column("content").to_pylist(), length, width)
+        again = repeated_windows(data, at, length)
         again &= ~t.column("sure").to_numpy()[row]
         r, first, last = _spans(row[again], place[again])
         pick, start = pa.array(r), t.column("start").to_numpy()[r]
@@ -257,13 +323,17 @@ def _spans_of(keyed: DataFrame, length: int, runs_in_task: int, width: int = 1)
     run = ["digit", "one"]
     counts = found.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "place")).alias("sample"))
     digits = counts.groupBy("digit").agg(F.count("*").alias("different"), F.sum("n").alias("total")).filter("total > 1")
-    known = found.join(counts.join(digits, "digit"), run).withColumn("start", F.floor(F.col("place") / length)).withColumn("stop", F.col("start") + F.col("place") % length)
+    counts = cut(counts.join(digits, "digit"))
+    # at most HOT_RUNS runs have more than a HOT_RUNS-th of all records: their counts go to every task, the records stay where they are
+    hot = F.broadcast(counts.filter(F.col("n") > F.lit(found.count() / HOT_RUNS)))
+    known = found.join(hot, run).unionByName(found.join(hot, run, "left_anti").join(counts, run))
+    known = known.withColumn("start", F.floor(F.col("place") / length)).withColumn("stop", F.col("start") + F.col("place") % length)
     spans = known.filter("n > 1").select("key", "text_hash", F.col("start").alias("from"), (F.col("stop") + length).alias("to"))
     sampled = F.struct("key", "text_hash", "place") == F.col("sample")
     open_runs = cut(known.filter((F.col("different") > 1) & ((F.col("n") == 1) | sampled)).select("key", "text_hash", "start", "stop", "digit", (F.col("n") > 1).alias("sure"), (F.col("different") > runs_in_task).alias("crowded")))
 
     def contents(asked: DataFrame) -> DataFrame:
-        lists = asked.groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "stop", "digit", "sure")).alias("asked"))
+        lists = asked.groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "stop", "digit", "sure")).alias("asked"))
         # all columns of keyed: then this shuffle of the texts also serves the join with the spans
         joined = keyed.join(lists.hint("shuffle_hash"), ["key", "text_hash"]).select("key", "text_hash", "row", "text", "asked")
         return joined.mapInArrow(_contents(length, width), "key long, text_hash long, start long, digit long, sure boolean, content binary")
@@ -304,15 +374,19 @@ def _bytes_of_words(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return [(int(edges[2 * a]), int(edges[2 * b - 1])) for a, b in spans]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK, words: bool = False) -> DataFrame:
-    """docs with repeated strings cut out of text_col, and `removed_spans` array<struct<from, to>> (bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK, words: bool = False, spans_col: str = "removed_spans") -> DataFrame:
+    """docs with repeated strings cut out of text_col, and an array<struct<from, to>> (bytes) `spans_col`.
 
     Every byte covered by a `length`-byte string of the UTF-8 text that also
     starts anywhere else, in the same or another row, is removed; matches never
     cross rows and are judged on the input. A code point whose bytes are cut
-    apart is dropped from the text. Null texts stay null, with no spans. Other
-    columns pass unchanged, whatever their names. words: length counts words
-    (`[^\\x20\\x09-\\x0D]+`), whatever white space is between them; spans are in bytes still.
+    apart is dropped from the text. Null texts stay null, with no spans; an
+    empty table gives an empty one. Repeated rows and rows of one or no id are
+    rows like others and repeat each other's strings. Texts are read whole; one
+    text must fit a worker's memory a few times over. Other columns pass
+    unchanged, whatever their names; a column named as `spans_col` is replaced.
+    words: length counts words (`[^\\x20\\x09-\\x0D]+`), whatever white space is
+    between them; spans are in bytes still.
     """
     names = docs.columns
     joined = _joined(docs, id_col, text_col, [c for c in names if c != text_col], length, runs_in_task, WORD_WIDTH if words else 1)
@@ -334,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     row_type = joined.schema["row"].dataType.simpleString()
     done = joined.mapInArrow(strip, f"row {row_type}, text string, removed_spans array<struct<from:bigint,to:bigint>>")
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names], "removed_spans")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names if c != spans_col], F.col("removed_spans").alias(spans_col))
 
 
 def _kept(text: bytes, cutting: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -346,7 +420,10 @@ def _kept(text: bytes, cutting: list[tuple[int, int]]) -> Iterator[bytes]:
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, runs_in_task: int = RUNS_IN_TASK) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that remain (null text: empty)."""
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that remain (null text: empty).
+
+    Every row gives one row, those of null and repeated ids too; see remove_repeats.
+    """
     joined = _joined(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, [id_col], length, runs_in_task)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

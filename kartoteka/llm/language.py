@@ -5,7 +5,9 @@ widths slide over the bytes; a filter's value at a place is the sum of one
 weight per offset and byte. The highest value of each filter in a window, above
 zero, enters a softmax over languages. A text's scores are its windows' mean,
 weighted by their bytes. Training is gradient descent on windows of a bounded
-sample of labelled texts; the gradient of a maximum flows to its place only.
+sample of labelled texts of each language; the gradient of a maximum flows to
+its place only. Sample, windows and their order follow from hashes of ids and
+texts, so the model does not depend on how the table is dealt over tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartoteka.llm.common import slices
 from kartoteka.llm.toxicity import held_out
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Labelled texts in the sample at most, windows taken from each, passes over them, windows of a batch, learning rate.
-SAMPLE, WINDOWS_EACH, EPOCHS, BATCH, RATE = 4_000, 3, 14, 64, 0.01
+#: Labelled texts of a language in the sample at most, windows taken from each, passes over them, windows of a batch, learning rate.
+SAMPLE, WINDOWS_EACH, EPOCHS, BATCH, RATE = 1_000, 3, 14, 64, 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -111,47 +113,60 @@ class ByteNet:
                     w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 1) -> ByteNet:
-    """Trains on windows spread over the texts and on short cuts of them, so that short texts are known too."""
+def drawn(text: bytes, seed: int) -> list[bytes]:
+    """Windows from anywhere in the text: one whole, the others short cuts, so that short texts are known too."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(WINDOWS_EACH):
+        size = WINDOW if k == 0 else int(rng.integers(8, WINDOW + 1))
+        start = int(rng.integers(0, max(1, len(text) - size + 1)))
+        out.append(text[start : start + size])
+    return out
+
+
+def fit(samples: list[list[bytes]], languages: list[str], seed: int = 1) -> ByteNet:
+    """Trains on the windows drawn from each text."""
     names = sorted(set(languages))
     net = ByteNet(names, seed)
-    if len(names) < 2:
-        return net
-    rng, parts, target = np.random.default_rng(seed), [], []
-    for t, language in zip(texts, languages):
-        data = t.encode()
-        for k in range(WINDOWS_EACH):
-            size = WINDOW if k == 0 else int(rng.integers(8, WINDOW + 1))
-            start = int(rng.integers(0, max(1, len(data) - size + 1)))
-            parts.append(data[start : start + size])
-            target.append(names.index(language))
-    net.train(windows(parts)[0], np.array(target))
+    if len(names) > 1:
+        target = [names.index(x) for own, x in zip(samples, languages) for _ in own]
+        net.train(windows([w for own in samples for w in own])[0], np.array(target))
     return net
 
 
-def labelled_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, least: int = 8) -> tuple[list[str], list[str]]:
-    """At most `sample` texts that are not held out, spread over languages; ends of 4096 code points or less of each."""
+def labelled_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[list[list[bytes]], list[str]]:
+    """Windows of at most `sample` texts of each language that are not held out, those of least hash, and their languages.
+
+    Of rows that agree in id, language and text one is learned from.
+    """
     usable = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 3, 1)
-    ids = docs.filter(usable).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.lit(5), id_col).alias("_h"))
-    chosen = ids.orderBy("_h", "_id", "_lang").limit(sample).select(F.col("_id"), F.col("_h")).distinct()
-    length = F.length(text_col)
-    start = F.pmod(F.col("_h"), F.greatest(F.lit(1), length - 4096)).cast("int") + 1
-    rows = docs.filter(usable).join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(text_col).substr(start, F.lit(4096)).alias("text"), F.col(lang_col).alias("lang")).limit(2 * sample)
-    got = rows.toArrow()
-    return got.column("text").to_pylist(), got.column("lang").to_pylist()
-
-
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, held_out (crc32 of the id as text mod 3 is 1), lang_pred, score; and the columns in `keep`.
-
-    Learned from at most `sample` rows that are not held out. Only the text
-    enters a prediction. lang_pred is `und`, with score 0, where the text is
-    null or has no letter, or where nothing was learned. Rows with a null id
-    count as not held out. Repeated rows give repeated predictions; an empty
-    table gives none.
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.filter(usable).select(lang.alias("lang"), F.xxhash64(F.lit(5), F.col(id_col), text).alias("h"), text.alias("text"))
+    least = rows.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= sample)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = batch.column(1).to_pylist()
+            own = [drawn(t.encode(), h & 0xFFFFFFFF) for t, h in zip(batch.column(2).to_pylist(), seeds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.binary()))], ["lang", "h", "windows"])
+
+    # `sample` keys a language, fewer bytes than the windows that the driver is about to hold
+    picked = rows.join(F.broadcast(least.select("lang", "h").distinct()), ["lang", "h"]).mapInArrow(draw, "lang string, h long, windows array<binary>")
+    got = picked.dropDuplicates(["lang", "h"]).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    return got.column("windows").to_pylist(), got.column("lang").to_pylist()
+
+
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+    """Per row: id, held_out (crc32 of the id as text mod 3 is 1), lang_pred, score; and, as struct `row_col`, the row itself.
+
+    Learned from at most `sample` rows of each language that are not held out.
+    Only the text enters a prediction; all of it does, however long. lang_pred
+    is `und`, with score 0, where the text is null or has no letter, or where
+    nothing was learned. Rows with a null id count as not held out. Repeated
+    rows give repeated predictions; an empty table gives none. Input columns
+    may have any names. Ties go to the language that is first by code points.
     """
-    texts, languages = labelled_texts(docs, id_col, text_col, lang_col, sample)
-    net = fit(texts, languages)
+    samples, languages = labelled_windows(docs, id_col, text_col, lang_col, sample)
+    net = fit(samples, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +183,9 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 best = mean.argmax(axis=1)
                 predicted += [net.languages[k] if n else UNKNOWN for k, n in zip(best, named[a:b])]
                 scores += [min(1.0, float(mean[i, k])) if n else 0.0 for i, (k, n) in enumerate(zip(best, named[a:b]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], ["_row", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], ["row", "held_out", "lang_pred", "score"])
 
-    kept = [F.col(f"`{c}`").alias(c) for c in keep or []]
-    chosen = docs.select(F.struct(F.col(id_col).cast("long").alias("_id"), *kept).alias("_row"), F.col(text_col).cast("string").alias("_text"), held_out(id_col, 3, 1).alias("held_out"))
-    done = chosen.mapInArrow(run, f"_row {chosen.schema['_row'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
-    return done.select(F.col("_row._id").alias(id_col), "held_out", "lang_pred", "score", *[F.col(f"_row.`{c}`").alias(c) for c in keep or [] if c != id_col])
+    row = F.struct("*") if row_col else F.lit(0)
+    chosen = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), row.alias("whole")).alias("row"), F.col(text_col).cast("string").alias("text"), held_out(id_col, 3, 1).alias("held_out"))
+    done = chosen.mapInArrow(run, f"row {chosen.schema['row'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return done.select(F.col("row.id").alias(id_col), "held_out", "lang_pred", "score", *([F.col("row.whole").alias(row_col)] if row_col else []))

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from kartoteka.llm import language, toxicity
+from tests.llm import clashing
 
 WORDS = {"aa": ["the", "and", "with", "from", "thing", "which"], "bb": ["der", "und", "nicht", "für", "über", "straße"], "cc": ["les", "été", "pour", "dans", "être", "où"]}
 
@@ -26,8 +27,22 @@ def test_language(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     right = [by_id[i].lang_pred == true[i] for i in true if by_id[i].held_out]
     assert np.mean(right) > 0.97 and all(0 <= r.score <= 1 for r in got)
-    kept = language.identify_language(df, keep=df.columns).filter("doc_id = 1003").first()
-    assert kept.lang_pred == "bb"
+    whole = language.identify_language(df, row_col="row").filter("doc_id = 1003").first()
+    assert whole.lang_pred == "bb" and whole.row.held_out == "s"
+
+
+def test_language_model_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, lang := rng.choice(list(WORDS)), rng.randint(3, 200)), lang) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string")
+    a, b = (language.labelled_windows(x, "doc_id", "text", "lang", 40) for x in (df.repartition(7), df.repartition(2).orderBy("text")))
+    assert a == b and sorted(set(a[1])) == sorted(WORDS) and max(map(a[1].count, WORDS)) == 40
+    got = language.identify_language(df, sample=40).collect()
+    net = language.fit(*a)
+    for r in got:
+        x, _, sizes = language.windows([dict((i, t) for i, t, _ in rows)[r.doc_id].encode()])
+        mean = (net.probabilities(x) * sizes[:, None]).sum(axis=0) / sizes.sum()
+        assert r.lang_pred == net.languages[int(mean.argmax())] and abs(r.score - mean.max()) < 1e-6
 
 
 def test_language_without_labels(spark):
@@ -40,7 +55,7 @@ def test_window_gradients_fit_training_data():
     rng = random.Random(2)
     langs = [rng.choice(list(WORDS)) for _ in range(200)]
     texts = [prose(rng, x, 40) for x in langs]
-    net = language.fit(texts, langs)
+    net = language.fit([language.drawn(t.encode(), i) for i, t in enumerate(texts)], langs)
     x, owner, _ = language.windows([t.encode() for t in texts])
     p = net.probabilities(x)
     assert np.mean([net.languages[k] == langs[o] for k, o in zip(p.argmax(1), owner)]) > 0.97
@@ -86,4 +101,39 @@ def test_swapping_identity_terms_hardly_moves_the_score():
         logit = [np.log(p / (1 - p)) for p in (own.score("my muslim neighbour"), own.score("my christian neighbour"))]
         gap[weight] = logit[0] - logit[1]
     assert gap[0.0] > 0.2 and gap[toxicity.SWAP_WEIGHT] < 0.5 * gap[0.0]
-    assert toxicity.swapped("The Muslim woman. A dog.", swaps=1)[0][0] == "the muslim woman"
+    assert toxicity.example_sentences("a dog. the muslim woman. a cat.") == ["a dog", "the muslim woman"]
+    assert toxicity.counterfactuals(["the muslim woman"], swaps=1) == [("the muslim woman", "the black refugees")]
+    for sentence in ("a dog", "ein hund", "un chien"):
+        (a, b), (c, d) = toxicity.counterfactuals([sentence])
+        assert a == sentence and b == c != d and all(x.endswith(sentence) and x != sentence for x in (b, d))
+
+
+def test_scores_of_the_query_by_brute_force(spark):
+    """The registered query's scores from its sample, fitted and summed up in plain Python; its counterfactual pairs exist."""
+    from kartoteka.llm.queries import QUERIES
+    from tests.test_queries import SF
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = sorted((i, t) for i, t in docs if t is not None and i in marks and not held(i))
+    texts = [" ".join(sorted({w.strip(toxicity._EDGE) for w in t.lower().split()})) for _, t in learned]
+    sentences = [s for _, t in learned for s in toxicity.example_sentences(t.lower())]
+    assert len(toxicity.counterfactuals(sentences)) >= len(learned) > 10
+    weights, bias = toxicity.fit(texts, [marks[i] for i, _ in learned], sentences)
+    by_id = dict(docs)
+    got = QUERIES["op3_toxicity"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        words = set((by_id[r.doc_id] or "").lower().split())
+        z = bias + sum(weights.get(f, 0.0) for w in words for f in toxicity.word_features(w))
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert r.held_out == held(r.doc_id) and abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_scores_ignore_clashing_columns_and_repeats(spark):
+    rows = toxic_rows(200)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    plain = {(r.doc_id, r.score) for r in toxicity.toxicity(df, labels).collect()}
+    assert plain == {(r.doc_id, r.score) for r in toxicity.toxicity(clashing(df), clashing(labels)).collect()}

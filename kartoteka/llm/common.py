@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 SLICE_BYTES = 500_000
 
 
@@ -26,19 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts small."""
+    """Keeps Arrow batches of long texts small, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary one is used
-    only where none is set (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``. Where none is set, it is a
+    temporary folder on a single machine and one in the warehouse elsewhere.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kartoteka-"))
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        own = tempfile.mkdtemp(prefix="kartoteka-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_kartoteka"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -62,8 +65,10 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table of written() that nothing reads any more, and frees finished shuffles.
 
-    Spark's cleaner removes shuffle files and checkpoints once the driver's
-    garbage is collected; on a long job this need not happen by itself.
+    Spark's cleaner removes shuffle files once the driver's garbage is
+    collected; on a long job this need not happen by itself. It removes the
+    files of cut() too where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set; else they stay until the shared folder is cleared.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

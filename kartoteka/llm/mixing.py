@@ -75,18 +75,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per row: id, size, source, source_size, target, taken (words the mix takes, repeats counted).
 
     A size is the number of `[^\\x20\\x09-\\x0D]+` in the text, null and empty
-    texts 0. A null source is a source. taken is at most three times the size.
-    Rows with equal id, source and size are interchangeable; every row gives
-    one row. An empty table, or one without a word, takes nothing.
+    texts 0; a long text is counted whole. A null source is a source. taken is at
+    most three times the size. Shards are drawn by id and text, so rows of one
+    or no id spread; rows that agree in both are interchangeable. Every row
+    gives one row. An empty table, or one without a word, takes nothing. Other
+    columns of any name are not looked at. Targets need the order of all sources,
+    so one task holds a row a source (not a document).
     """
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), words.alias("size"), F.col(source_col).cast("string").alias("source")))
+    text_hash = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    h = _hash(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), text_hash)
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), words.alias("size"), F.col(source_col).cast("string").alias("source"), h.alias("h")))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     sources = sources.withColumn("_seats", F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / BLOCK).cast("long"))
     sources = apportion(sources, [], "source", "target", "_seats", "quota")
     sources = cut(sources.select(F.col("source").alias("s_source"), "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long").alias("shards")))
-    placed = rows.withColumn("h", _hash(F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
+    placed = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
     source = ["source", "source_size", "target", "quota"]
     shards = placed.groupBy(*source, "shard").agg(F.sum("size").alias("shard_size")).withColumn("group", F.floor(F.col("shard") / GROUP))
     groups = shards.groupBy(*source, "group").agg(F.sum("shard_size").alias("group_size"))

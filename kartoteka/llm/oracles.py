@@ -30,7 +30,7 @@ def _hash(x: str) -> str:
 _PICK = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
 
 MIXING = f"""
-WITH rows_ AS (SELECT doc_id AS id, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size, source FROM documents),
+WITH rows_ AS (SELECT doc_id AS id, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size, source, {_hash("'1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))")} AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {_PICK} END AS weight, source_size * {REPEATS} AS lim FROM src),
 levels AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, coalesce(sum(lim) OVER before, 0)::DOUBLE AS lim_before, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left
@@ -38,7 +38,7 @@ levels AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, coalesce(sum(l
 aimed AS (SELECT source, source_size, least(lim::DOUBLE, max((total - lim_before) / weight_left) OVER () * weight) AS target, round(total / {BLOCK})::BIGINT AS seats FROM levels),
 {_apportion("quotas", "aimed", [], "source", "target", "seats", "quota")},
 sources_ AS (SELECT source, source_size, target, quota, greatest(1, ceil(source_size / {SHARD}))::BIGINT AS shards FROM quotas),
-placed AS (SELECT r.*, s.* EXCLUDE (source), {_hash("'1:' || coalesce(r.id::VARCHAR, 'null')")} AS h FROM rows_ r JOIN sources_ s ON r.source IS NOT DISTINCT FROM s.source),
+placed AS (SELECT r.*, s.* EXCLUDE (source) FROM rows_ r JOIN sources_ s ON r.source IS NOT DISTINCT FROM s.source),
 dealt AS (SELECT *, h % shards AS shard FROM placed),
 shards_ AS (SELECT source, quota, shard, sum(size)::BIGINT AS shard_size, (shard // {GROUP})::BIGINT AS grp FROM dealt GROUP BY source, quota, shard),
 groups_ AS (SELECT source, quota, grp, sum(shard_size)::BIGINT AS group_size FROM shards_ GROUP BY source, quota, grp),
@@ -98,3 +98,20 @@ counts_ AS (SELECT a, count(*) AS n FROM links_ GROUP BY a),
 {_components("v_", "vec_id", "links_")}
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, vec_id = component AS kept FROM v_ JOIN least_ ON node = vec_id LEFT JOIN counts_ ON a = vec_id
 """
+
+#: Every string of 400 bytes is told apart by its hash; runs of covered bytes are islands of starts at most 400 apart.
+REPEATS = """
+WITH d_ AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w_ AS (SELECT doc_id, unnest(range(1, n - 398)) AS p, b FROM d_ WHERE n >= 400),
+h_ AS (SELECT doc_id, p, md5(array_slice(b, p, p + 399)) AS h FROM w_),
+starts_ AS (SELECT doc_id, p FROM h_ WHERE h IN (SELECT h FROM h_ GROUP BY h HAVING count(*) > 1)),
+first_ AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, true) AS fresh FROM starts_),
+island_ AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM first_),
+span_ AS (SELECT doc_id, k, min(p) AS a, max(p) + 399 AS z FROM island_ GROUP BY doc_id, k),
+piece_ AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS y, lead(a) OVER (PARTITION BY doc_id ORDER BY k) IS NULL AS final FROM span_),
+cut_ AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed,
+    string_agg((CASE WHEN a > y + 1 THEN hex(array_slice(b, y + 1, a - 1)) ELSE '' END) || (CASE WHEN final AND n > z THEN hex(array_slice(b, z + 1, n)) ELSE '' END), '' ORDER BY a) AS kept
+    FROM piece_ JOIN d_ USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d_ LEFT JOIN cut_ USING (doc_id)
+"""

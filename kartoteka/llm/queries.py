@@ -90,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": oracles.MIXING,
+    "op2_suffix": oracles.REPEATS,
     "op6_chat": oracles.CHAT,
     "op8_minhash": oracles.NEAR_TEXTS,
     "op9_vectors": oracles.NEAR_VECTORS,

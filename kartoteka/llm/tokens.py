@@ -210,19 +210,11 @@ class PrefixCounter:
             before += int(counts[-1])
         return np.concatenate(parts)
 
-    def fitting(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of at most `budget` tokens."""
-        best, done, before = 0, 0, 0
-        for i, c in enumerate(self._chunks(text)):
-            counts = self.chunk(c)
-            if before + min(counts[1:]) > budget and before + counts[-1] > budget and before > budget + len(c.encode()):
-                break
-            for j in range(1 + (i == 0), len(counts)):
-                if before + counts[j] <= budget:
-                    best = done + j - (i == 0)
-            done += len(c) - (i == 0)
-            before += counts[-1]
-        return best
+    @staticmethod
+    def fitting(table: np.ndarray, budget: int) -> int:
+        """Code points of the longest prefix of at most `budget` tokens: a search in a text's table."""
+        fits = np.flatnonzero(table <= budget)
+        return int(fits[-1]) if len(fits) else 0
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -239,7 +231,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts are the library's for the whole text without added tokens. Null texts
     count as empty: no bytes, no tokens. Ids may be null or repeat; every row
-    gives one row. Texts of any length take memory by their own length.
+    gives one row, an empty table none. Texts of any length take memory by their
+    own length. Other columns of any name are not looked at.
     """
     path = model_path or public_tokenizers.path(MODEL)
 
@@ -248,7 +241,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [n for a, b in slices([t.encode() for t in texts]) for n in own.totals_of(texts[a:b])]
-            fits = [pa.array([own.fitting(t, b) for t in texts], pa.int64()) for b in budgets]
+            fit = [[own.fitting(table, b) for b in budgets] for table in map(own.table, texts)] if budgets else []
+            fits = [pa.array([f[k] for f in fit], pa.int64()) for k in range(len(budgets))]
             columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), *fits]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit", *(f"fit_{b}" for b in budgets)])
 

@@ -176,9 +176,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / tile).alias("parts"))
     tiles = placed.join(sizes, cell).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy(*cell, "part")
     tiles = cut(tiles.applyInArrow(_tile, "label long, d int, c1 int, c2 int, part long, nodes binary, weights binary, vectors binary")).withColumn("tile", F.monotonically_increasing_id())
-    left = tiles.select("label", "d", F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("tile").alias("a"))
-    near = (F.abs(F.col("x1") - F.col("c1")) <= 1) & (F.abs(F.col("x2") - F.col("c2")) <= 1)
-    pairs = left.join(tiles.select(*cell, F.col("tile").alias("b")), ["label", "d"]).filter(near & (F.col("a") <= F.col("b"))).select("a", "b", "d")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    left = tiles.select("label", "d", around("c1"), "c2", F.col("tile").alias("a")).select("label", "d", "c1", around("c2"), "a")
+    pairs = left.join(tiles.select(*cell, F.col("tile").alias("b")), cell).filter("a <= b").select("a", "b", "d")
     held = lambda s: tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "vectors")])
     found = cut(pairs.join(held("a"), "a").join(held("b"), "b").mapInArrow(_compare(axes, threshold), "node long, other long, links long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from kartoteka.llm.minhash import near_duplicates
+from tests.llm import clashing
 
 
 def documents(spark, tmp_path):
@@ -75,3 +76,28 @@ def test_one_row_of_each_group(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and kept.columns == docs.columns
     whole = [r.text for r in corpus_pipeline.repeat_removal(spark, kept, "").collect()]
     assert sorted(x.removesuffix(" tail") for x in whole) == sorted(x for _, x in want)
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Extra columns under names of their own kind change nothing and pass every stage but the last."""
+    docs, _ = documents(spark, tmp_path)
+    extra = clashing(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, extra = stage(spark, docs, "").cache(), stage(spark, extra, "").cache()
+        assert extra.columns[: len(docs.columns)] == docs.columns and len(extra.columns) > 50
+        got = sorted(extra.select(*docs.columns).collect(), key=str)
+        assert got == sorted(docs.collect(), key=str), name
+        assert extra.filter("removed_spans is null or _kept <> 3").count() in (0, extra.count())
+    pieces = lambda df: {(r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect() if r.start % 2048 == 0 and r.length == 2048}
+    assert pieces(corpus_pipeline.packing(spark, extra, "")) == pieces(corpus_pipeline.packing(spark, docs, ""))
+
+
+def test_inner_tables_go(spark, tmp_path):
+    from kartoteka.llm.common import shared_folder
+
+    documents(spark, tmp_path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    tables = lambda: {f.getPath().getName() for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop) if f.getPath().getName().startswith("table-")}
+    before = tables()
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert tables() == before and rows.count() > 0

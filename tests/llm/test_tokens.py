@@ -21,7 +21,7 @@ def test_every_prefix_matches_the_library():
         assert own.table(t).tolist() == want
         assert own.totals_of([t]) == [want[-1]]
         for budget in (0, 3, 9):
-            assert own.fitting(t, budget) == max(i for i, n in enumerate(want) if n <= budget)
+            assert own.fitting(own.table(t), budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
 def test_rows(spark):

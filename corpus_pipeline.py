@@ -6,10 +6,10 @@ again, and returns the columns of `documents`; the last returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import cut, is_empty, prepare, release, table, written
+from kartoteka.llm.common import cut, discard, is_empty, new_path, prepare, release, table, written
 from kartoteka.llm.language import UNKNOWN, identify_language
 from kartoteka.llm.minhash import near_duplicates
 from kartoteka.llm.mixing import mix
@@ -22,44 +22,63 @@ LEAST_CONFIDENCE = 0.35
 REPEAT_WORDS = 51
 
 
+def _same_rows(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: all their values, and where these are null."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [*columns, *[c.isNull() for c in columns]]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no known language: without a letter, or none likely enough."""
+    """Rejects documents in no known language: without a letter, or none likely enough.
+
+    Null and empty texts hold no letter and go. Rows are judged one by one, so
+    repeated rows, tied and null ids do not matter; extra columns may have any
+    names. Where no row has a language to learn from, no language is known and
+    all go. An empty table stays empty.
+    """
     prepare(spark)
-    named = identify_language(docs, keep=docs.columns)
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select(*docs.columns)
+    named = identify_language(docs, row_col="row")
+    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (Jaccard 0.8 of five-word shingles): that of least id, null last.
 
     Rows are told apart by a hash of all their columns, so ids may be null or
-    tied. Of rows that agree in all columns one stays. Rows without a word are
-    no copies of anything and all stay.
+    tied, and extra columns may have any names. Of rows that agree in all
+    columns one stays. Rows without a word, null texts among them, are no copies
+    of anything and all stay. An empty table stays empty.
     """
     prepare(spark)
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    rows = near_duplicates(keyed, id_col="_row", percent=80).groupBy("_row").agg(F.first("component_id").alias("component"), (F.first("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
-    ids = keyed.groupBy("_row").agg(F.first("doc_id").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row", (F.col("words") & (F.col("n") > 1)).alias("again"))
-    kept = rows.join(ids, "_row").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_kept"), "least.again")
+    keyed = docs.select(F.xxhash64(*_same_rows(docs)).alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"), F.struct("*").alias("row"))
+    rows = near_duplicates(keyed.select("key", "text"), id_col="key", percent=80).groupBy("key").agg(F.first("component_id").alias("component"), (F.first("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
+    ids = keyed.groupBy("key").agg(F.first("id").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "key", (F.col("words") & (F.col("n") > 1)).alias("again"))
+    kept = rows.join(ids, "key").groupBy("component").agg(F.min(order).alias("least")).select("least.key", "least.again")
     kept = cut(kept)
     release(spark)  # what the search has shuffled, before the texts are
     again = kept.filter("again")
     if is_empty(again):
-        return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
-    once = keyed.join(kept.filter("not again"), F.col("_row") == F.col("_kept"), "left_semi")
-    return once.unionByName(keyed.join(again, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])).drop("_row")
+        return keyed.join(kept, "key", "left_semi").select("row.*")
+    once = keyed.join(kept.filter("not again"), "key", "left_semi").select("key", "row")
+    return once.unionByName(keyed.join(again, "key", "left_semi").select("key", "row").dropDuplicates(["key"])).select("row.*")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of over 50 words that occur more than once out of the texts; documents stay, if empty too.
 
     Passages are compared word by word, so neither the bytes of their words nor
-    the white space between these matter.
+    the white space between these matter. Repeated rows repeat each other's
+    texts, whatever their ids; null texts stay null. Extra columns may have any
+    names; n_chars, where it is there, follows the text. An empty table stays
+    empty.
     """
     prepare(spark)
-    done = remove_repeats(docs, length=REPEAT_WORDS, words=True).withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
+    spans = "removed_spans"
+    while spans in docs.columns:
+        spans += "_"
+    done = remove_repeats(docs, length=REPEAT_WORDS, words=True, spans_col=spans)
+    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,18 +86,26 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document stands in the result as often as the mix takes its words; a
     fraction left over becomes a whole copy with that probability, by a seeded
-    hash of its id. Rows that share an id share their words. Documents without
-    a word have none that the mix could take and go.
+    hash of its id and text. Rows that share an id share their words, null ids
+    too. Documents without a word, null texts among them, have none that the mix
+    could take and go. A null source is a source. Extra columns may have any
+    names. An empty table stays empty.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times")).withColumnRenamed("doc_id", "_id")
-    chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    copies = F.floor("_times") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", copies).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    taken = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("taken_id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit(17), "doc_id", "text").alias("h"), F.struct("*").alias("row"))
+    chance = F.pmod("h", F.lit(1 << 20)) / (1 << 20)
+    copies = F.floor("times") + F.when(chance < F.col("times") - F.floor("times"), 1).otherwise(0)
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("taken_id"))).withColumn("copies", copies).filter("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the mixed documents in sequences of 2048."""
+    """Token pieces of the mixed documents in sequences of 2048.
+
+    Null and empty texts are the end token alone; repeated rows and ids are
+    packed like any others, a null id stays null. Only doc_id and text are looked
+    at. An empty table gives no piece.
+    """
     prepare(spark)
     return pack(docs, capacity=2048, end_id=1)
 
@@ -90,7 +117,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. A stage's table goes once the next one's is written; the last stage keeps what it needs of it itself."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = new_path(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, before)
+    return packed

@@ -141,7 +141,11 @@ def labelled_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     usable = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 3, 1)
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     rows = docs.filter(usable).select(lang.alias("lang"), F.xxhash64(F.lit(5), F.col(id_col), text).alias("h"), text.alias("text"))
-    least = rows.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= sample)
+    # of n hashes about 2 * sample lie below 2 * sample / n of their range: only these are ranked, in a language of any size
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    low = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")) * 2.0**64 - 2.0**63
+    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").filter(F.col("h") <= low)
+    least = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= sample)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ from kartoteka.llm.components import Forest, connected_components
 #: Rows to a band and bands: a pair at similarity 0.85 shares no band with probability 2e-7.
 ROWS, BANDS = 8, 48
 #: Shingles that a block of a candidate cluster may hold, and the shift between coordinates.
-BLOCK_SHINGLES, SHIFT = 2_000_000, 1
+BLOCK_SHINGLES, SHIFT = 500_000, 1
 _A, _B, _C = (np.uint32(x) for x in (0x7FEB352D, 0x846CA68B, 0x9E3779B1))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,17 @@ ENTITIES = {"nbsp": " ", "times": "×", "deg": "°", "ndash": "–", "mdash": "
 #: Cyrillic letters and the Latin letters they are mistaken for.
 LOOKALIKES = ("аеорсухкмтнв", "aeopcyxkmthb")
 #: Units that may follow a key or stand in brackets after it.
-KEY_UNITS = ("кг/сут", "кг", "г", "см", "мм", "мл", "м", "л", "дба", "дб", "об/?\\s*мин", "квт·ч/год", "квт\\*?ч/?кг", "квтч/г", "квт", "шт", "%")
+KEY_UNITS = ("кг", "г", "см", "мм", "м", "л", "мл", "дба", "дб", "об/?\\s*мин", "квт·ч/год", "квт\\*?ч/?кг", "квтч/г", "квт", "шт", "%", "кг/сут")
+#: Phrases of keys of packed sizes, and the one that says the opposite.
+PACKED, UNPACKED = ("в упаковк", "товарной упаковк", "с учетом упаковк", "брутто", "в коробк"), "без упаковк"
 _UNITS = "(?:" + "|".join(KEY_UNITS) + ")"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
@@ -27,6 +36,19 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def decode_numeric_entities(c: Column) -> Column:
+    """&#1234; and &#x4D2; as their characters."""
+    parts = F.split(F.coalesce(c, F.lit("")), "(?=&#[xX]?[0-9A-Fa-f]{1,6};)")
+    code = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, "^&#[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(p, "^&#([0-9]{1,6});", 1), F.lit(""))).cast("int")
+    shown = lambda p: F.when(code(p).isNotNull(), F.concat(_character(code(p)), F.regexp_replace(p, "^&#[xX]?[0-9A-Fa-f]{1,6};", ""))).otherwise(p)
+    return F.array_join(F.transform(parts, shown), "")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point of the basic plane, from its UTF-16 bytes."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
 def strip_html(c: Column) -> Column:
     """Visible text of a fragment: entities decoded, then tags as spaces; null is empty."""
     return squeeze(F.regexp_replace(decode_entities(F.coalesce(c, F.lit(""))), "<[^>]+>", " "))
@@ -94,17 +116,16 @@ def dice(a: Column, b: Column) -> Column:
 
 def is_packing_key(c: Column) -> Column:
     """Keys of gross or packed sizes, which are not the product's own."""
-    text = fold(c)
-    packed = "в\\s+упаковк|товарной\\s+упаковк|с\\s+учетом\\s+упаковк|брутто|в\\s+коробк"
-    return text.rlike(packed) & ~text.rlike("без\\s+упаковк")
+    return let(squeeze(fold(c)), lambda t: ~F.contains(t, F.lit(UNPACKED)) & F.exists(F.array(*map(F.lit, PACKED)), lambda p: F.contains(t, p)))
+
+
+#: Three capitals or more, and no small letter or digit; a colon at the end, and no "key: value" before it.
+SHOUTED, ANNOUNCED = "^(?:[^\\p{Ll}\\d]*\\p{Lu}){3}[^\\p{Ll}\\d]*$", "^(?!.*\\S:\\s*\\S).*:\\s*$"
 
 
 def is_heading_line(c: Column) -> Column:
-    """Empty lines, lines that end in a colon, and lines all in capitals."""
-    text = squeeze(F.coalesce(c, F.lit("")))
-    letters = F.regexp_replace(text, "[^A-Za-zА-ЯЁа-яё]", "")
-    shouted = (F.length(letters) >= 3) & (letters == F.upper(letters)) & ~text.rlike("\\d")
-    return (text == "") | (text.rlike(":\\s*$") & ~text.rlike("\\S:\\s*\\S")) | shouted
+    """Empty lines, lines that announce others, and lines all in capitals."""
+    return let(squeeze(F.coalesce(c, F.lit(""))), lambda t: (t == "") | t.rlike(ANNOUNCED) | t.rlike(SHOUTED))
 
 
 def number_label(c: Column, digits: int = 3) -> Column:
@@ -120,6 +141,15 @@ def model_token(c: Column) -> Column:
     return F.get(F.filter(words, lambda w: F.length(w) == best), F.lit(0))
 
 
+#: Endings of adjectives.
+ADJECTIVE_ENDINGS = ("ый", "ий", "ой", "ая", "яя", "ое", "ее", "ые", "ие")
+
+
+def value_stem(c: Column) -> Column:
+    """value_fold without the ending of an adjective and without -ист."""
+    return F.regexp_replace(F.regexp_replace(value_fold(c), f"(?:{'|'.join(ADJECTIVE_ENDINGS)})$", ""), "ист$", "")
+
+
 def url_host(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(c, "^(?:https?)://([^/:?#]+)", 1)), "^www\\.", "")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions.text import bigrams, norm_key, token_bag
 
-#: Least likeness of a fuzzy match, and how much lengths may differ.
-LEAST_LIKENESS, LENGTH_GAP = 0.82, 12
+#: Least likeness of a fuzzy match, and how much lengths may differ.
+LEAST_LIKENESS, LENGTH_GAP = 0.9, 12
 
 
 def exact_matches(keys: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -26,23 +26,38 @@ def bag_matches(keys: DataFrame, synonyms: DataFrame) -> DataFrame:
     return _best(left.join(synonyms.withColumn("_k", token_bag(F.col("synonym"))), "_k"), "words")
 
 
-def prefix_matches(keys: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(key, code, how): the longest synonym whose words the key begins with."""
+def prefix_matches(keys: DataFrame, synonyms: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+    """(key, code, how): the longest synonym whose words the key begins with, unless with the next word it is a blacklisted phrase (phrase)."""
     words = F.split(norm_key(F.col("key")), " ")
     starts = keys.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))))
+    if blacklist is not None:
+        longer = F.array_join(F.slice(words, F.lit(1), F.size(F.split("_k", " ")) + 1), " ")
+        barred = blacklist.select(norm_key(F.col("phrase")).alias("_longer")).distinct()
+        starts = starts.withColumn("_longer", longer).join(barred, "_longer", "left_anti")
     joined = starts.join(synonyms.withColumn("_k", norm_key(F.col("synonym"))), "_k")
-    return joined.groupBy("key").agg(F.max_by("code", F.struct(F.length("_k").alias("a"), (-F.col("order")).alias("b"))).alias("code")).withColumn("how", F.lit("prefix"))
+    longest = F.struct(F.length("_k").alias("a"), (-F.col("order")).alias("b"))
+    return joined.groupBy("key").agg(F.max_by("code", longest).alias("code")).withColumn("how", F.lit("prefix"))
 
 
 def pair_likeness(keys: DataFrame, synonyms: DataFrame, least: float = LEAST_LIKENESS, gap: int = LENGTH_GAP) -> DataFrame:
-    """(key, synonym, code, order, likeness): pairs whose letter pairs agree to `least` (Dice)."""
-    def pairs(df: DataFrame, name: str, prefix: str) -> DataFrame:
-        df = df.withColumn("_t", norm_key(F.col(name))).withColumn("_g", bigrams(F.col("_t")))
-        return df.withColumn(f"_{prefix}n", F.size("_g")).withColumn(f"_{prefix}len", F.length("_t")).withColumn("_pair", F.explode("_g")).drop("_t", "_g")
-
-    shared = pairs(keys.select("key").distinct(), "key", "k").join(pairs(synonyms, "synonym", "s"), "_pair").filter(F.abs(F.col("_klen") - F.col("_slen")) <= gap)
-    counted = shared.groupBy("key", "synonym", "code", "order", "_kn", "_sn").agg(F.count("*").alias("_both"))
-    return counted.withColumn("likeness", 2 * F.col("_both") / (F.col("_kn") + F.col("_sn"))).filter(F.col("likeness") >= least).select("key", "synonym", "code", "order", "likeness")
+    """(key, synonym, code, order, likeness): pairs whose letter pairs agree to `least` (Dice).
+
+    Two texts as alike as that share one of the rarest letter pairs of the key:
+    of its n pairs at most (1 - least) / (2 - least) of both sets are its own,
+    so only that many of its rarest, and one more, look for synonyms. Lengths
+    bound the rest before any set is compared.
+    """
+    spelled = synonyms.withColumn("_s", norm_key(F.col("synonym"))).withColumn("_sg", bigrams(F.col("_s")))
+    grams = spelled.select("synonym", "code", "order", "_s", "_sg", F.explode("_sg").alias("_pair"))
+    often = grams.groupBy("_pair").agg(F.count("*").alias("_often"))
+    asked = keys.select("key").distinct().withColumn("_k", norm_key(F.col("key"))).withColumn("_kg", bigrams(F.col("_k")))
+    counted = asked.select("key", "_k", "_kg", F.explode("_kg").alias("_pair")).join(often, "_pair", "left").groupBy("key").agg(F.any_value("_k").alias("_k"), F.any_value("_kg").alias("_kg"), F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col("_pair").alias("p")))).alias("_by"))
+    # |A and B| >= least (|A| + |B|) / 2 and |B| >= |A and B| leave at most this share of A's pairs outside B
+    outside = F.floor(F.size("_kg") * (2 - 2 * least) / (2 - least) + 1e-9).cast("int")
+    probes = counted.withColumn("_pair", F.explode(F.transform(F.slice("_by", F.lit(1), F.greatest(outside + 1, F.lit(0))), lambda x: x["p"])))
+    met = probes.join(grams, "_pair").filter(F.abs(F.length("_k") - F.length("_s")) <= gap).dropDuplicates(["key", "synonym", "code", "order"])
+    share = 2 * F.size(F.array_intersect("_kg", "_sg")) / (F.size("_kg") + F.size("_sg"))
+    return met.select("key", "synonym", "code", "order", share.alias("likeness")).filter(F.col("likeness") >= least)
 
 
 def fuzzy_matches(keys: DataFrame, synonyms: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:

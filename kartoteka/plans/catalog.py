@@ -313,7 +313,7 @@ def likely_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [(part, F.expr("left(p_name, length(p_name) - 1)")), (part.filter("p_size < 5"), F.col("p_name")), (part.filter("p_size < 8"), turned)]
     synonyms = [rows.groupBy("p_name").agg((3 * F.min("p_partkey") + i).alias("order")).select(name.alias("synonym"), F.col("p_name").alias("code"), "order") for i, (rows, name) in enumerate(kinds)]
     barred = spark.range(1).select(F.lit("bolt").alias("phrase"))
-    return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms[0].unionByName(synonyms[1]).unionByName(synonyms[2]), barred)
+    return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms[0].unionByName(synonyms[1]).unionByName(synonyms[2]), barred, least=0.82)
 
 
 @query("""

@@ -31,9 +31,40 @@ def write_missing(missing: DataFrame, path: str) -> None:
     missing.write.mode("overwrite").partitionBy("filter").option("header", True).csv(path)
 
 
-def save_version(rows: DataFrame, folder: str, version: int) -> None:
-    """One version of a dump beside the others; readers take the highest (latest_version)."""
+def write_artefacts(tables: dict[str, DataFrame], folder: str, category: int, dirty: DataFrame | None = None) -> list[str]:
+    """One JSON table an artefact of a category (data, products, filters, coverage, held, report ...); the names written.
+
+    With dirty values (any row) the filters are held back and the values are
+    written as filters_reject instead; products go out all the same.
+    """
+    refused = dirty is not None and bool(dirty.take(1))
+    out = {k: v for k, v in tables.items() if not (refused and k.startswith("filters") and k != "filters_coverage")}
+    if refused:
+        out["filters_reject"] = dirty
+    for name, table in out.items():
+        table.write.mode("overwrite").json(f"{folder}/{name}_{category}")
+    return sorted(out)
+
+
+#: Versions of a dump that are kept.
+VERSIONS = 8
+
+
+def save_version(rows: DataFrame, folder: str, version: int, keep: int = VERSIONS) -> None:
+    """One version of a dump beside the others, of which the newest `keep` stay; readers take the highest (latest_version)."""
     rows.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    spark = rows.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = sorted((int(f.getPath().getName().removeprefix("version=")), f.getPath()) for f in files.listStatus(root) if f.getPath().getName().startswith("version="))
+    for _, path in held[:-keep]:
+        files.delete(path, True)
+
+
+def restore_version(spark, folder: str, version: int, as_version: int) -> None:
+    """An older version of a dump as the newest one."""
+    rows = spark.read.parquet(f"{folder}/version={version}")
+    save_version(rows, folder, as_version)
 
 
 def latest_version(spark, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from kartoteka.operators import facets, shape
+from kartoteka.operators import cards, facets, shape
 from kartoteka.sources import dictionary, products, writers
 from kartoteka.streaming import imports
 
@@ -33,21 +34,53 @@ def test_ledger(spark, tmp_path):
 
 
 def test_feed(spark, tmp_path):
-    xml = """<yml><shop><categories><category id="1">Техника</category><category id="2" parentId="1">Холодильники</category></categories><offers>
-    <offer id="10" available="true"><vendor>LG</vendor><vendorCode>GA</vendorCode><name>N</name><categoryId>2</categoryId><param name="Вес"> 60  кг</param><param name="pickup">true</param><param name="synonyms">a, b,a</param></offer>
-    <offer id="11"><name>M</name><categoryId>1</categoryId></offer></offers></shop></yml>"""
+    """Service parameters, bare booleans and synonyms are no facts; empty tags and attributes of categories do no harm."""
+    xml = """<?xml version="1.0"?><yml_catalog><shop><categories><category id="p1" url="x">Стеклянная тара</category><category id="c1" parentId="p1" url="y">Стеклянные банки</category></categories><offers>
+    <offer id="o1" available="true"><vendor>Aviora</vendor><vendorCode>104-127</vendorCode><name>Банка &quot;Твист&quot; 250 мл</name><description></description><url>u1</url><categoryId>c1</categoryId><picture>https://s/1.png</picture><price>5</price>
+    <param name="Объем, мл">250</param><param name="Хит">false</param><param name="Code">1</param><param name="Синоним">банка твист</param></offer>
+    <offer id="o2"><name>Без фото</name><categoryId>c1</categoryId></offer></offers></shop></yml_catalog>"""
     path = put(tmp_path / "f.xml", xml)
     offers = {r.id: r for r in products.read_offers(spark, path).collect()}
-    assert [tuple(p) for p in offers["10"].params] == [("Вес", "60 кг")] and offers["10"].synonyms == ["a", "b"] and offers["11"].params == []
+    assert [tuple(p) for p in offers["o1"].params] == [("Объем, мл", "250")] and offers["o1"].synonyms == ["банка твист"] and offers["o2"].params == []
+    assert (offers["o1"].name, offers["o1"].image) == ('Банка "Твист" 250 мл', "https://s/1.png")
     paths = {r.id: r.path for r in shape.category_paths(products.read_categories(spark, path)).collect()}
-    assert paths == {"1": "Техника", "2": "Техника / Холодильники"}
+    assert paths == {"p1": "Стеклянная тара", "c1": "Стеклянная тара / Стеклянные банки"}
+    assert [r.id for r in products.read_offers(spark, path, spark.createDataFrame([("o1",)], "id string")).collect()] == ["o2"]
+    facts = cards.offer_facts(products.read_offers(spark, path).withColumn("category", F.lit("Банки"))).filter("id = 'o1'").first()
+    assert facts.specs == {"Объем, мл": "250"} and facts.article == "104-127"
 
 
 def test_listing(spark):
-    block = '<div itemscope itemtype="https://schema.org/Product"><a itemprop="url" href="/p/{0}"><span itemprop="name">Модель {0}</span></a><img itemprop="image" src="i{0}.jpg"><meta itemprop="sku" content="s{0}"><meta itemprop="price" content="1200"><link href="https://schema.org/InStock"></div>'
-    df = spark.createDataFrame([(5, "<html>" + block.format(1) + block.format(2) + "</html>"), (6, "<html></html>")], "page_id int, html string")
-    got = sorted(products.listing_items(df).collect(), key=lambda r: r.place)
-    assert [(r.page_id, r.sku, r.name, r.product_url, r.image, r.price, r.available, r.brand) for r in got] == [(5, f"s{i}", f"Модель {i}", f"/p/{i}", f"i{i}.jpg", 1200.0, True, None) for i in (1, 2)]
+    block = '<div itemscope itemtype="http://schema.org/Product"><img itemprop="image" src="/i/{0}.jpg"><a itemprop="url" href="/shop/{0}"><span itemprop="name">Холодильник {0}</span></a><a href="/shop/kupit/brand-lg" class="mr-brand"> LG </a><meta itemprop="price" content="43790.00"><link itemprop="availability" href="http://schema.org/{1}"><button class="js" data-sku="{0}"></button></div>'
+    html = '<div data-category="523"></div><a href="?page=2">2</a><a href="?x=1&page=13">13</a>' + block.format(296646, "InStock") + block.format(315460, "OutOfStock") + '<div itemtype="http://schema.org/Product"><span itemprop="name">Крошка</span></div>'
+    df = spark.createDataFrame([(5, html), (6, "<html></html>"), (7, '<div data-category="1"></div><div itemtype="http://schema.org/Product"><span itemprop="name">Крошка</span></div>')], "page_id int, html string")
+    got = sorted(products.listing_items(df, origin="https://shop").collect(), key=lambda r: r.place)
+    assert [(r.page_id, r.category_id, r.page_count, r.sku, r.name, r.product_url, r.image, r.price, r.available, r.brand, r.brand_slug) for r in got] == [
+        (5, 523, 13, n, f"Холодильник {n}", f"https://shop/shop/{n}", f"https://shop/i/{n}.jpg", 43790.0, there, "LG", "lg") for n, there in (("296646", True), ("315460", False))
+    ]
+
+
+def test_product_page(spark):
+    html = """<h3>Описание</h3><div itemprop="description" class="p-2"><p>Машина с загрузкой 6&nbsp;кг.</p></div></section><section><h3 class="b">Характеристики</h3><div class="p-2">
+    <div class="row py-1"><div class="col-sm-5 muted">Тип загрузки</div><div class="col-sm-7"> фронтальная </div></div>
+    <div class="row py-1"><div class="col-sm-5 muted">Мax загрузка белья, (кг)</div><div class="col-sm-7"> 6 </div></div></div></section>"""
+    got = products.product_page(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
+    assert got.description == "Машина с загрузкой 6 кг." and got.annotation == "Тип загрузки - фронтальная<br>Мax загрузка белья, (кг) - 6"
+    assert [tuple(a) for a in got.attributes] == [("Тип загрузки", "фронтальная"), ("Мax загрузка белья, (кг)", "6")]
+
+
+def test_uploads(spark):
+    payloads = [(1, '[{"name": "Цвет", "value": ["Белый", "Серый"]}, {"label": "Вес", "values": [{"value": "5-6"}]}]'), (2, '{"filters": {"Цвет": ["Белый"], "Шум": "40"}}'), (3, "[]"), (4, None)]
+    got = {(r.id, r.name): r["values"] for r in products.filter_lists(spark.createDataFrame(payloads, "id int, body string"), "id", "body").collect()}
+    assert got == {(1, "Цвет"): ["Белый", "Серый"], (1, "Вес"): ["5-6"], (2, "Цвет"): ["Белый"], (2, "Шум"): ["40"]}
+    names = spark.createDataFrame([("/x/products_v2_467.json",), ("data_929.json",), ("list-523.csv",), ("a.json",)], "f string")
+    assert [r[0] for r in names.select(products.category_of_file(F.col("f"))).collect()] == ["467", "929", "523", None]
+    dump = spark.createDataFrame([("1", "s1", "Плита", "a", " "), ("2", None, "Печь", "b", "x")], "id string, sku string, name string, description string, annotation string")
+    assert tuple(products.dump_summary(dump).first()) == (2, 1, 1)
+    assert [r.id for r in products.preview(dump, "ПЕЧ").collect()] == ["2"]
+    assert [(r.k, r.name) for r in products.find_in_dump(spark.createDataFrame([("s1",), ("9",)], "k string"), dump, "k").orderBy("k").collect()] == [("9", None), ("s1", "Плита")]
+    with pytest.raises(ValueError):
+        products.page(dump, ["id"], -1, 5)
 
 
 def test_sheet(spark, tmp_path):
@@ -82,11 +115,17 @@ def test_writers(spark, tmp_path):
         reader = spark.read.option("header", True).option("rowTag", "item").format(back)
         assert reader.load(f"{tmp_path}/{kind}").count() == 1
     writers.write_category(df, df, str(tmp_path / "cat"), 5)
+    assert writers.write_artefacts({"products": df, "filters": df, "report": df}, str(tmp_path / "art"), 5) == ["filters", "products", "report"]
+    assert writers.write_artefacts({"products": df, "filters": df}, str(tmp_path / "art2"), 5, df) == ["filters_reject", "products"]
     writers.write_missing(df, f"{tmp_path}/missing")
     writers.append_ledger(df, f"{tmp_path}/ledger")
     for v in (1, 2):
         writers.save_version(df.withColumn("v", F.lit(v)), f"{tmp_path}/dump", v)
     assert writers.latest_version(spark, f"{tmp_path}/dump").first().v == 2
+    writers.restore_version(spark, f"{tmp_path}/dump", 1, 3)
+    assert writers.latest_version(spark, f"{tmp_path}/dump").first().v == 1
+    writers.save_version(df, f"{tmp_path}/dump", 4, keep=2)
+    assert sorted(p.name for p in (tmp_path / "dump").iterdir() if p.is_dir()) == ["version=3", "version=4"]
 
 
 def test_incremental_import(spark, tmp_path):

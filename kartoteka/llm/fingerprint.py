@@ -208,7 +208,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.struct(F.floor(F.col("code") / 2).cast("int").alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.pmod(F.floor(F.col("code") / 2) - 1, F.lit(most)).cast("int").alias("bucket"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("code", placed("place", "h")).withColumn("to", F.explode(F.when(F.col("code") % 2 == 1, F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select("id", "text", "to.bucket", "to.guest", "place", "h").repartition(n, "bucket")
+    dealt = dealt.select("id", "text", "to.bucket", "to.guest", "place", "h").repartitionById(most, "bucket")
     return dealt.sortWithinPartitions("bucket", "guest", "place", "h", "text")
 
 

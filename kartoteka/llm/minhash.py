@@ -3,10 +3,13 @@
 One permutation scatters the shingles over 2**32 places, a second one, shifted
 circularly by 0, 1, 2, ..., gives every coordinate of the signature. Documents
 with equal shingle sets are one node. Nodes that share a band of the signature
-are joined into candidate clusters; inside a cluster every pair of nodes not
-yet known to be connected is compared on its full sets. A cluster larger than a
-block is compared block by block, each pair of blocks a task of its own, so no
-task holds more than two blocks.
+are joined into candidate clusters; inside a cluster the pairs that share a band
+and are not yet known to be connected are compared on their full sets. A cluster
+of several blocks is compared block by block, each pair of blocks a task of its
+own, so no task holds more than two blocks. Where that would copy a set more
+often than it has bands, as in clusters that chance bands have chained together,
+the cluster falls apart into its bands, and these are compared instead: the same
+pairs, but work that follows how many sets share a band, not the cluster's size.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import as_long, cut, discard, distinct_sorted, mix64, new_path, seeded, shingle_hashes, slices, text_bytes, word_hashes, written
+from kartoteka.llm.common import as_long, cut, discard, distinct_sorted, is_empty, mix64, new_path, seeded, shingle_hashes, slices, text_bytes, word_hashes, written
 from kartoteka.llm.components import Forest, connected_components
 
 #: Rows to a band and bands: a pair at similarity 0.85 shares no band with probability 2e-7.
@@ -101,51 +104,60 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, ban
     return chosen.mapInArrow(sketch, "id long, n_shingles long, node long, bands array<long>, shingles binary")
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
+def _links(sets: list[np.ndarray], bands: np.ndarray, left: int, percent: int) -> Iterator[tuple[int, int]]:
     """Links that connect the sets with 100 * intersection >= percent * union, fewest that do.
 
-    right: None compares left with itself, else only pairs across are compared.
-    Pairs already connected are passed over; every other pair is compared.
+    left: 0 compares all sets with each other, else the first `left` with the
+    others. Only pairs that share a band are compared; those already connected
+    are passed over.
     """
-    sets = left + (right or [])
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     at = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
     forest = Forest(len(sets))
-    base = len(left) if right else 0
-    for i in range(len(left)):
-        lo = base or i + 1
+    for i in range(left or len(sets)):
+        lo = left or i + 1
         if lo >= len(sets):
             break
         fits = (100 * np.minimum(sizes[lo:], sizes[i]) >= percent * np.maximum(sizes[lo:], sizes[i])) & (forest.roots()[lo:] != forest.find(i))
-        if not fits.any():
+        near = np.flatnonzero(fits) + lo
+        near = near[(bands[near] == bands[i]).any(axis=1)]
+        if not len(near):
             continue
+        own = sizes[near]
+        place = np.repeat(at[near] - (np.cumsum(own) - own), own) + np.arange(own.sum())
         mark[ids[at[i] : at[i + 1]]] = 1
-        both = np.add.reduceat(mark[ids[at[lo] :]], at[lo:-1] - at[lo])
+        both = np.add.reduceat(mark[ids[place]], np.cumsum(own) - own)
         mark[ids[at[i] : at[i + 1]]] = 0
-        for j in np.flatnonzero(fits & (100 * both >= percent * (sizes[i] + sizes[lo:] - both))):
-            if forest.join(i, lo + int(j)):
-                yield i, lo + int(j)
+        for j in near[100 * both >= percent * (sizes[i] + own - both)].tolist():
+            if forest.join(i, j):
+                yield i, j
 
 
 def _compare(percent: int):
     def compare(key: tuple, batch: pa.Table) -> pa.Table:
         nodes, side = batch.column("node").to_numpy(), batch.column("block").to_numpy()
-        sets = [_unpacked(x) for x in batch.column("shingles").to_pylist()]
         low, high = key[1].as_py(), key[2].as_py()
         order = np.lexsort((nodes, side))
-        if low == high:
-            found = list(_links([sets[i] for i in order], None, percent)) if len(order) > 1 else []
-        else:
-            n = int((side == low).sum())
-            found = list(_links([sets[i] for i in order[:n]], [sets[i] for i in order[n:]], percent)) if 0 < n < len(order) else []
+        left = 0 if low == high else int((side == low).sum())
+        found: list[tuple[int, int]] = []
+        if len(order) > 1 and (low == high or 0 < left < len(order)):
+            packed = batch.column("shingles").to_pylist()
+            bands = batch.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+            found = list(_links([_unpacked(packed[i]) for i in order], bands[order], left, percent))
         pick = nodes[order]
         return pa.table({"a": pa.array([pick[i] for i, _ in found], pa.int64()), "b": pa.array([pick[j] for _, j in found], pa.int64())})
 
     return compare
 
 
+def _in_blocks(sets: DataFrame, weights: DataFrame) -> DataFrame:
+    """sets (component, node, shingles, bands) dealt to each pair of blocks of their component (low <= high)."""
+    dealt = sets.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles", "bands")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, rows: int = ROWS, bands: int = BANDS, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
@@ -155,7 +167,8 @@ def near_duplicates(
     intersection >= percent * union, confirmed on the full sets (48 bits of
     each shingle's hash). component_id is the smallest id reachable by links,
     kept whether it is the row's own. Null and empty texts, and those without a
-    word, have n_shingles 0 and are linked with nothing. A null id stays null,
+    word, have n_shingles 0 and are linked with nothing; long texts are read
+    whole, an empty table gives an empty result. A null id stays null,
     is never a component's id, and is kept only where its component has no
     other id. Repeated rows keep their number; copies with one id are all kept.
     """
@@ -171,14 +184,16 @@ def near_duplicates(
     clusters = cut(connected_components(near))
     chosen = nodes.select(F.col("node").alias("c_node"), "least").join(clusters.withColumnRenamed("node", "c_node"), "c_node")
     one_row = (F.col("node") == F.col("c_node")) & F.col("id").eqNullSafe(F.col("least"))  # copies differ in id, so they spread
-    sets = filled.select("id", "node", "shingles", "n_shingles").join(chosen, one_row).groupBy("node", "component").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"))
-    sets = cut(sets)
+    sets = filled.select("id", "node", "shingles", "n_shingles", "bands").join(chosen, one_row).groupBy("node", "component")
+    sets = cut(sets.agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
     discard(spark, path)  # only all_rows and the candidates' sets are read from here on
-    weights = sets.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    dealt = sets.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles"
-    )
+    blocks_of = lambda df: df.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    weights = blocks_of(sets)
+    pairs = _in_blocks(sets, weights.filter(F.col("blocks") <= bands).drop("n"))
+    chained = sets.join(weights.filter(F.col("blocks") > bands).select("component"), "component", "left_semi")
+    if not is_empty(chained):
+        banded = chained.select(F.explode("bands").alias("component"), "node", "shingles", "size", "bands")
+        pairs = pairs.unionByName(_in_blocks(banded, blocks_of(banded).filter("n > 1").drop("n")))
     links = pairs.groupBy("component", "low", "high").applyInArrow(_compare(percent), "a long, b long")
     classes = connected_components(links)
     least = nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))

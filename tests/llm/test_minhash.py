@@ -49,8 +49,8 @@ def corpus():
     return rows
 
 
-def run(spark, rows, **kw):
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+def run(spark, data, **kw):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in data], SCHEMA)
     got = near_duplicates(df, **kw)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     return sorted([tuple(r) for r in got.collect()], key=str)
@@ -66,6 +66,13 @@ def test_blocks_of_a_large_cluster_give_the_same(spark):
     assert run(spark, rows, percent=80, block_shingles=300) == brute(rows, 80)
 
 
+def test_chained_clusters_fall_apart_into_bands(spark):
+    """Few bands and tiny blocks: clusters of more blocks than bands give what larger blocks give."""
+    rows = corpus()
+    want = run(spark, rows, percent=85, rows=2, bands=12)
+    assert run(spark, rows, percent=85, rows=2, bands=12, block_shingles=15) == want == brute(rows, 85)
+
+
 def test_empty_table(spark):
     assert run(spark, [], percent=85) == []
 

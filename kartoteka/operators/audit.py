@@ -70,6 +70,16 @@ def likely_repeats(values: DataFrame, attribute: str, value: str) -> DataFrame:
     return same.unionByName(inside.filter("a <> b").select("k", "a", "b", F.lit("inside").alias("how"))).distinct().withColumnRenamed("k", attribute)
 
 
+def repeat_groups(values: DataFrame, attribute: str, value: str) -> DataFrame:
+    """(attribute, representative, member): values of one attribute that fold to one, each beside the least of its group; groups of one are left out.
+
+    A group has as many rows as members, however large it is.
+    """
+    folded = values.select(F.col(attribute), F.col(value).alias("member"), value_fold(F.col(value)).alias("_f")).filter("member is not null").distinct()
+    least = folded.groupBy(attribute, "_f").agg(F.min("member").alias("representative"), F.count("*").alias("_n")).filter("_n > 1")
+    return folded.join(least, [attribute, "_f"]).select(attribute, "representative", "member")
+
+
 def rule_errors(cards: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:
     """(id, error): a row for each rule that a card breaks; all rules in one pass."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), name) for name, broken in rules.items()]))

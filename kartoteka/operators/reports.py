@@ -101,7 +101,10 @@ def todo(catalog: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return catalog.join(done, key, "left_anti")
 
 
-def forward_fill(rows: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """The last value given before or at each row, as sheets with merged cells have it."""
+def forward_fill(rows: DataFrame, column: str, order: str, by: list[str]) -> DataFrame:
+    """The last value given before or at each row of its group, as sheets with merged cells have it.
+
+    An empty `by` makes one group of the whole table, which one task must hold: for sheets filled in by hand.
+    """
     frame = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(column, F.last(column, ignorenulls=True).over(frame))

@@ -82,6 +82,17 @@ def likely_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.likely_repeats(rows, "p_type", "p_name")
 
 
+@query("""
+WITH v AS (SELECT DISTINCT p_type, p_name AS v FROM part UNION SELECT DISTINCT p_type, upper(p_name) FROM part WHERE p_size < 5 UNION SELECT DISTINCT p_type, replace(p_name, ' ', '-') FROM part WHERE p_size < 3)
+SELECT p_type, min(v) AS representative, count(*) AS spellings, string_agg(v, '|' ORDER BY v) AS members FROM v GROUP BY p_type, regexp_replace(lower(v), '[ -]', '', 'g') HAVING count(*) > 1
+""")
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    rows = part.select("p_type", "p_name").unionByName(part.filter("p_size < 5").select("p_type", F.upper("p_name").alias("p_name"))).unionByName(part.filter("p_size < 3").select("p_type", F.replace("p_name", F.lit(" "), F.lit("-")).alias("p_name")))
+    groups = audit.repeat_groups(rows, "p_type", "p_name")
+    return groups.groupBy("p_type", "representative").agg(F.count("*").alias("spellings"), F.array_join(F.array_sort(F.collect_list("member")), "|").alias("members"))
+
+
 @query("""
 SELECT c_custkey AS id, 'in_debt' AS error FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'odd_segment' FROM customer WHERE c_mktsegment IN ('FURNITURE', 'MACHINERY')
 UNION ALL SELECT c_custkey, 'no_name' FROM customer WHERE coalesce(trim(c_name), '') = ''
@@ -105,11 +116,11 @@ def enrichment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH u AS (SELECT page_id % 5 AS query, page_id AS place,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&])(?:utm_[a-z]+|gclid|yclid|fbclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url FROM pages),
 h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^(?:https?)://([^/:?#]+)', 1)), '^www\.', '') AS host FROM u)
-SELECT query, host, place, url FROM h WHERE regexp_matches(url, '^https?://[^/]+/.+') AND host <> '' AND host NOT LIKE 'm.%' QUALIFY row_number() OVER (PARTITION BY query, host ORDER BY place) = 1
+SELECT query, host, place, url FROM h WHERE regexp_matches(url, '^https?://[^/]+/.+') AND host <> '' QUALIFY row_number() OVER (PARTITION BY query, host ORDER BY place) = 1
 """)
 def accepted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query"), F.col("page_id").alias("place"), "url")
-    return web.accepted_sources(links.filter("not url rlike '(?i)^https?://m[.]'"), "query").select("query", "host", "place", "url")
+    return web.accepted_sources(links, "query").select("query", "host", "place", "url")
 
 
 @query(r"""

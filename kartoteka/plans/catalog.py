@@ -278,20 +278,24 @@ def key_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.pair_likeness(nation.select(F.col("n_name").alias("key")), synonyms.withColumn("order", F.lit(0)), 0.5).drop("order")
 
 
-@query("""
+@query(f"""
 WITH k AS (SELECT DISTINCT p_name AS key FROM part), w AS (SELECT key, list_sort(list_distinct(string_split(key, ' '))) AS bag FROM k),
-s AS (SELECT DISTINCT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS synonym FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_size < 5),
+s AS (SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS synonym, p_name AS code FROM part WHERE p_size >= 40 UNION SELECT p_name, p_name FROM part WHERE p_size < 5),
 e AS (SELECT key, 'exact' AS how FROM k WHERE key IN (SELECT synonym FROM s)),
 b AS (SELECT key, 'words' AS how FROM w WHERE key NOT IN (SELECT key FROM e) AND bag IN (SELECT list_sort(list_distinct(string_split(synonym, ' '))) FROM s)),
-l AS (SELECT key, 'blacklist' AS how FROM k WHERE key NOT IN (SELECT key FROM e UNION ALL SELECT key FROM b) AND (key LIKE '% bolt' OR key = 'bolt' OR key LIKE 'bolt %'))
-SELECT key, CASE WHEN how <> 'blacklist' THEN key END AS code, coalesce(how, 'unmapped') AS how FROM k LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM l) USING (key)
+l AS (SELECT key, 'blacklist' AS how FROM k WHERE key NOT IN (SELECT key FROM e UNION ALL SELECT key FROM b) AND (key LIKE '% bolt' OR key = 'bolt' OR key LIKE 'bolt %')),
+r AS (SELECT key, length(t) AS len, {_GRAMS_SQL} AS g FROM (SELECT key, lower(key) AS t FROM k) WHERE key NOT IN (SELECT key FROM e UNION ALL SELECT key FROM b UNION ALL SELECT key FROM l)),
+sg AS (SELECT code, length(t) AS len, {_GRAMS_SQL} AS g FROM (SELECT *, lower(synonym) AS t FROM s)),
+p AS (SELECT key, code, 2 * len(list_intersect(r.g, sg.g)) / (len(r.g) + len(sg.g))::DOUBLE AS likeness FROM r, sg WHERE abs(r.len - sg.len) <= 12),
+f AS (SELECT key, 'fuzzy' AS how FROM p WHERE likeness >= 0.9 GROUP BY key)
+SELECT key, coalesce(how, 'unmapped') AS how FROM k LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM l UNION ALL SELECT * FROM f) USING (key)
 """)
 def matched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
-    synonyms = part.filter("p_partkey % 2 = 0").select(turned.alias("synonym"), F.col("p_name").alias("code")).unionByName(part.filter("p_size < 5").select(F.col("p_name").alias("synonym"), F.col("p_name").alias("code"))).distinct()
+    synonyms = part.filter("p_size >= 40").select(turned.alias("synonym"), F.col("p_name").alias("code")).unionByName(part.filter("p_size < 5").select(F.col("p_name").alias("synonym"), F.col("p_name").alias("code"))).distinct()
     barred = spark.range(1).select(F.lit("bolt").alias("phrase"))
-    return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms.withColumn("order", F.lit(0)), barred, least=1.01)
+    return match.match_keys(part.select(F.col("p_name").alias("key")), synonyms.withColumn("order", F.lit(0)), barred).select("key", "how")
 
 
 @query(f"""
@@ -444,10 +448,10 @@ def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.category_paths(tree)
 
 
-@query("SELECT coalesce(c_custkey, k) AS c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer FULL JOIN (SELECT o_custkey + 1 AS k, max(o_orderpriority) AS p FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON k = c_custkey")
+@query("SELECT coalesce(c_custkey, k) AS c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer FULL JOIN (SELECT o_custkey + 1 AS k, max(o_orderpriority) AS p FROM orders GROUP BY 1) ON k = c_custkey")
 def merged_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    overlay = _table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy((F.col("o_custkey") + 1).alias("c_custkey")).agg(F.max("o_orderpriority").alias("c_mktsegment"))
+    overlay = _table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 1).alias("c_custkey")).agg(F.max("o_orderpriority").alias("c_mktsegment"))
     return shape.merge_tables(base, overlay, "c_custkey")
 
 

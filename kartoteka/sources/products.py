@@ -102,7 +102,7 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     A sheet is one small file, filled in by hand; its order is that of its lines, so it is read as one.
     """
     rows = spark.read.csv(path, header=True).coalesce(1).withColumn("_line", F.monotonically_increasing_id())
-    return forward_fill(rows, "category", "_line").drop("_line")
+    return forward_fill(rows, "category", "_line", []).drop("_line")
 
 
 #: Feed parameters that say nothing about the product, and the one that holds a synonym.

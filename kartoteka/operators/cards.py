@@ -13,8 +13,8 @@ from kartoteka.operators.pairs import pairs_of_attributes
 SEPARATOR = "\\s+[-–—]\\s+|\\s*:\\s+"
 #: Answers that stand alone.
 ANSWERS = "да|нет|есть|имеется"
-#: The next fact inside a value: after a full stop, or after a bare answer.
-NEXT_SENTENCE = "\\.\\s+(?=\\p{L}[^:\\n]{1,80}:\\s*\\S)"
+#: The next fact inside a value: after a full stop that ends no sentence's first word (an abbreviation), or after a bare answer.
+NEXT_SENTENCE = "(?<=[^.\\s]\\s[^\\s.]{1,40})\\.\\s+(?=\\p{L}[^:\\n]{1,80}:\\s*\\S)"
 NEXT_ANSWER = f"(?iu)(?<=[-–—:]\\s(?:да|нет))\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)|(?<=[-–—:]\\sесть)\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)|(?<=[-–—:]\\sимеется)\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)"
 #: A description without key words is believed from so many pairs on.
 FEWEST_PAIRS = 3

@@ -50,5 +50,5 @@ def test_nothing_ends_at_a_bound(spark):
     texts = spark.createDataFrame([(1, "a b c d e f g")], "id int, text string")
     aliases = spark.createDataFrame([("k", "b c d e f", "long")], "code string, alias string, canon string")
     assert [tuple(r) for r in audit.value_claims(texts, "id", "text", aliases).collect()] == [(1, "k", "long")]
-    page = "<html>" + '<p itemtype="https://schema.org/Product">' * 100_002
+    page = "<html>" + '<p itemtype="https://schema.org/Product" data-sku="7">' * 100_002
     assert listing_items(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")).select("place").count() == 100_002

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import fold_lookalikes, model_token, norm_key, squeeze
+from kartoteka.functions.text import fold, fold_lookalikes, model_token, norm_key, squeeze
 
 
 def apply_rules(cards: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -72,3 +72,53 @@ def pages_of_products(pages: DataFrame, products: DataFrame) -> DataFrame:
     wanted = products.select("product_id", F.explode(F.array_compact(F.array(F.when(F.col("article").isNotNull(), F.struct(fold_lookalikes(F.col("article")).alias("word"), F.lit("article").alias("how"))), F.when(F.col("model").isNotNull(), F.struct(fold_lookalikes(F.col("model")).alias("word"), F.lit("identity").alias("how"))))) ).alias("w")).select("product_id", "w.*")
     hits = words.join(wanted, "word").groupBy("product_id").agg(F.min(F.struct("page_id", "how")).alias("f"))
     return hits.select("product_id", "f.page_id", "f.how")
+
+
+#: Attribute, words that tell its value, words that must be absent, and the value; the first row that fits counts.
+APPLIANCE_WORDS = (
+    ("install", "установк[а-я]*\\s*[-–—:]\\s*[^,;\\n]*встраиваем", None, "Встраиваемая"),
+    ("install", "установк[а-я]*\\s*[-–—:]\\s*[^,;\\n]*(?:отдельн|напольн|свободностоя)", None, "Отдельностоящая"),
+    ("install", "встраиваем|встроенн", "отдельн(?:о\\s*)?стоя|напольн|свободностоя", "Встраиваемая"),
+    ("install", ".", "встраиваем|встроенн", "Отдельностоящая"),
+    ("load_type", "вертикал", None, "Вертикальная"),
+    ("load_type", "фронтал|стиральн|стир\\.?\\s*маш", None, "Фронтальная"),
+    ("washer_type", "полуавтомат", None, "Полуавтоматическая"),
+    ("washer_type", "стиральн|стир\\.?\\s*маш", None, "Автоматическая"),
+    ("freezer_pos", "side\\s*-?\\s*by\\s*-?\\s*side|сбоку", None, "Сбоку"),
+    ("freezer_pos", "без морозил", None, "Отсутствует"),
+    ("freezer_pos", "нижн|снизу", None, "Снизу"),
+    ("freezer_pos", "верхн|сверху", None, "Сверху"),
+    ("chambers", "четырехкамер|4-камер", None, "4"),
+    ("chambers", "трехкамер|3-камер", None, "3"),
+    ("chambers", "однокамер|1-камер", None, "1"),
+    ("chambers", "двухкамер|2-камер|side\\s*-?\\s*by", None, "2"),
+    ("fridge_type", "side\\s*-?\\s*by\\s*-?\\s*side", None, "Side-by-Side"),
+    ("doors", "четырехдвер|4\\s*-?\\s*двер", None, "4"),
+    ("doors", "трехдвер|3\\s*-?\\s*двер", None, "3"),
+    ("doors", "однодвер|1\\s*-?\\s*двер", None, "1"),
+    ("doors", "двухдвер|2\\s*-?\\s*двер", None, "2"),
+)
+#: Attributes that follow from others once these are known: attribute, the other one, its value, what follows.
+APPLIANCE_LINKS = (
+    ("fridge_type", "chambers", "3", "Трёхкамерный"), ("fridge_type", "chambers", "1", "Однокамерный"), ("fridge_type", "chambers", "2", "Двухкамерный"),
+    ("doors", "fridge_type", "Однокамерный", "1"), ("doors", "fridge_type", "Двухкамерный", "2"),
+)
+#: Attributes that only washing machines and only fridges have.
+WASHER_ONLY, FRIDGE_ONLY = ("load_type", "washer_type"), ("freezer_pos", "chambers", "fridge_type", "doors")
+
+
+def derive_appliance(cards: DataFrame, text: str, kind: str) -> DataFrame:
+    """cards with install, load_type, washer_type, freezer_pos, chambers, fridge_type and doors filled, where they are empty, from a card's text and kind.
+
+    What the text says counts before what follows from other attributes, and
+    these are read in the order in which they are filled. Accessories get none,
+    dryers no washer's, and only fridges a fridge's.
+    """
+    said = fold(F.col(text))
+    fits = {a: F.col(kind).isin("washer", "washer-dryer") for a in WASHER_ONLY} | {a: F.col(kind) == "fridge" for a in FRIDGE_ONLY}
+    rules = []
+    for target in dict.fromkeys(a for a, *_ in APPLIANCE_WORDS):
+        right_kind = fits.get(target, F.col(kind) != "accessory")
+        rules += [(target, right_kind & said.rlike(words) & (F.lit(True) if absent is None else ~said.rlike(absent)), F.lit(value)) for a, words, absent, value in APPLIANCE_WORDS if a == target]
+        rules += [(target, right_kind & (F.col(other) == known), F.lit(value)) for a, other, known, value in APPLIANCE_LINKS if a == target]
+    return apply_rules(cards, rules)

@@ -195,3 +195,16 @@ def unified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     rows = _table(spark, sf_dir, "part").select("p_type", F.concat("p_name", F.when(k == 0, "").when(k == 1, "s").otherwise(",")).alias("v"))
     return match.unify_values(rows, "p_type", "v")
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Встраиваемая' WHEN 3 THEN NULL ELSE 'Отдельностоящая' END AS install, CASE p_partkey % 4 WHEN 0 THEN 'Вертикальная' WHEN 2 THEN 'Фронтальная' END AS load_type, CASE p_partkey % 4 WHEN 0 THEN 'Полуавтоматическая' WHEN 2 THEN 'Автоматическая' END AS washer_type,
+    CASE p_partkey % 4 WHEN 1 THEN 'Снизу' END AS freezer_pos, CASE p_partkey % 4 WHEN 1 THEN CASE WHEN p_size > 25 THEN '2' ELSE '3' END END AS chambers, CASE p_partkey % 4 WHEN 1 THEN CASE WHEN p_size > 25 THEN 'Двухкамерный' ELSE 'given' END END AS fridge_type,
+    CASE p_partkey % 4 WHEN 1 THEN CASE WHEN p_size > 25 THEN '2' END END AS doors FROM part WHERE p_size IS NOT NULL
+""")
+def derived_appliances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, large = F.col("p_partkey") % 4, F.col("p_size") > 25
+    said = F.when(k == 0, "Стиральная машина, полуавтомат. Загрузка вертикальная. Установка: встраиваемая").when(k == 1, F.concat(F.when(large, "Двухкамерный").otherwise("Трёхкамерный"), F.lit(" холодильник, морозильная камера снизу "), "p_name")).when(k == 2, F.concat(F.lit("Стиральная машина "), "p_name")).otherwise("Переходник")
+    kind = F.when(k == 1, "fridge").when(k == 3, "accessory").otherwise("washer")
+    cards = _table(spark, sf_dir, "part").filter("p_size is not null").select("p_partkey", said.alias("text"), kind.alias("kind"), F.when((k == 1) & ~large, "given").alias("fridge_type"))
+    return derive.derive_appliance(cards, "text", "kind").drop("text", "kind")

@@ -6,6 +6,8 @@ memory follows the slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import tempfile
@@ -81,6 +83,27 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What operators remember in a worker from task to task, by operator.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """A worker's memory of one operator: what it puts there stays for its next task, until another operator's task clears it."""
+    return _REMEMBERED.setdefault(operator, {})
+
+
+def forget_others(operator: str = "") -> None:
+    """Called where a task begins: drops what other operators remember, so that workers hold one operator's memory at a time."""
+    held = [m for name, m in _REMEMBERED.items() if name != operator and m]
+    for m in held:
+        m.clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library may not offer it; then freed memory goes back later
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import slices
+from kartoteka.llm.common import forget_others, slices
 from kartoteka.llm.toxicity import held_out
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -173,6 +173,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     net = fit(samples, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             rows = batch.column(1).to_pylist()
             data = [(t or "").encode() for t in rows]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import as_long, cut, discard, distinct_sorted, is_empty, mix64, new_path, seeded, shingle_hashes, slices, text_bytes, word_hashes, written
+from kartoteka.llm.common import as_long, cut, discard, distinct_sorted, forget_others, is_empty, mix64, new_path, seeded, shingle_hashes, slices, text_bytes, word_hashes, written
 from kartoteka.llm.components import Forest, connected_components
 
 #: Rows to a band and bands: a pair at similarity 0.85 shares no band with probability 2e-7.
@@ -76,6 +76,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, ban
     """id, n_shingles, node (hash of the whole set), bands and the packed set of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             texts = [t.lower() for t in text_bytes(batch.column(1))]
             for start, stop in slices(texts, 400_000):
@@ -184,7 +185,8 @@ def near_duplicates(
     clusters = cut(connected_components(near))
     chosen = nodes.select(F.col("node").alias("c_node"), "least").join(clusters.withColumnRenamed("node", "c_node"), "c_node")
     one_row = (F.col("node") == F.col("c_node")) & F.col("id").eqNullSafe(F.col("least"))  # copies differ in id, so they spread
-    sets = filled.select("id", "node", "shingles", "n_shingles", "bands").join(chosen, one_row).groupBy("node", "component")
+    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")  # half of each key tells bands apart well enough: more pairs, not fewer
+    sets = filled.select("id", "node", "shingles", "n_shingles", short).join(chosen, one_row).groupBy("node", "component")
     sets = cut(sets.agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
     discard(spark, path)  # only all_rows and the candidates' sets are read from here on
     blocks_of = lambda df: df.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("blocks"), F.count("*").alias("n"))
@@ -192,7 +194,7 @@ def near_duplicates(
     pairs = _in_blocks(sets, weights.filter(F.col("blocks") <= bands).drop("n"))
     chained = sets.join(weights.filter(F.col("blocks") > bands).select("component"), "component", "left_semi")
     if not is_empty(chained):
-        banded = chained.select(F.explode("bands").alias("component"), "node", "shingles", "size", "bands")
+        banded = chained.select(F.explode(F.transform("bands", lambda b: b.cast("long"))).alias("component"), "node", "shingles", "size", "bands")
         pairs = pairs.unionByName(_in_blocks(banded, blocks_of(banded).filter("n > 1").drop("n")))
     links = pairs.groupBy("component", "low", "high").applyInArrow(_compare(percent), "a long, b long")
     classes = connected_components(links)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kartoteka.llm.common import SPACE, cut, hashed_words, slices
+from kartoteka.llm.common import SPACE, cut, forget_others, hashed_words, remembered, slices
 
 MODEL, SPECIAL = "word_bpe_49k.json", "<|endoftext|>"
 #: Tokens of a sequence, tokens of an independently packed group, and words a worker remembers.
@@ -124,13 +124,11 @@ def _lowered(text: str) -> bytes:
     return data.lower()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    held = remembered("packing")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -139,6 +137,7 @@ def crc(ids: np.ndarray) -> int:
 
 def _tokenised(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("packing")
         own = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

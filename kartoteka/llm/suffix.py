@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import SPACE, cut, is_empty, mix64, parts_for, powers, seeded, slices, text_bytes, word_hashes
+from kartoteka.llm.common import SPACE, cut, forget_others, is_empty, mix64, parts_for, powers, remembered, seeded, slices, text_bytes, word_hashes
 
 #: Bytes of the first digit, and different runs of one digit that a task compares at most.
 GRAM, RUNS_IN_TASK = 40, 5_000
@@ -42,7 +42,7 @@ HOT_RUNS = 1_000
 WORD_GRAM, WORD_WIDTH = 8, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _VALUES = (seeded(31, 256), seeded(32, 256))
-_POWERS: dict = {}
+_POWERS: dict = remembered("suffix")
 _HALF, _PLACE = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -131,6 +131,7 @@ def _found_runs(length: int, width: int):
     """Runs of every text; place is start * length + (stop - start). A run's digit and content hash, 128 bits, tell it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("suffix")
         for batch in batches:
             texts = text_bytes(batch.column(2))
             for a, b in slices(texts):

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.llm.common import slices
+from kartoteka.llm.common import forget_others, remembered, slices
 
 MODEL = "piece_bpe_32k.model"
 #: Different chunks that a worker remembers, and slots (a power of two) of its memory of pairs of pieces.
@@ -217,13 +217,11 @@ class PrefixCounter:
         return int(fits[-1]) if len(fits) else 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    held = remembered("tokens")
+    if path not in held:
+        held[path] = PrefixCounter(path)
+    return held[path]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, model_path: str | None = None, budgets: tuple[int, ...] = ()) -> DataFrame:
@@ -237,6 +235,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = model_path or public_tokenizers.path(MODEL)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("tokens")
         own = counter(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -255,6 +254,7 @@ def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = model_path or public_tokenizers.path(MODEL)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("tokens")
         own = counter(path)
         for batch in batches:
             for i, t in enumerate(batch.column(1).to_pylist()):

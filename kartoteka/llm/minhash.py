@@ -127,9 +127,12 @@ def _links(sets: list[np.ndarray], bands: np.ndarray, left: int, percent: int) -
         if not len(near):
             continue
         own = sizes[near]
-        place = np.repeat(at[near] - (np.cumsum(own) - own), own) + np.arange(own.sum())
         mark[ids[at[i] : at[i + 1]]] = 1
-        both = np.add.reduceat(mark[ids[place]], np.cumsum(own) - own)
+        if 4 * len(near) > len(sets) - lo:  # reading all sets in a row is faster than picking many of them
+            both = np.add.reduceat(mark[ids[at[lo] :]], at[lo:-1] - at[lo])[near - lo]
+        else:
+            place = np.repeat(at[near] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            both = np.add.reduceat(mark[ids[place]], np.cumsum(own) - own)
         mark[ids[at[i] : at[i + 1]]] = 0
         for j in near[100 * both >= percent * (sizes[i] + own - both)].tolist():
             if forest.join(i, j):

@@ -115,3 +115,45 @@ cut_ AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed,
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
 FROM d_ LEFT JOIN cut_ USING (doc_id)
 """
+
+COPIES = """
+WITH said AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS said FROM documents),
+stays AS (SELECT said, max(doc_id) AS keep_id, count(*) AS group_size FROM said GROUP BY said)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(said) AS text_sha256 FROM said JOIN stays USING (said)
+"""
+
+
+def clusters(k: int = 8, dims: int = 64, rounds: int = 10) -> str:
+    """Lloyd's rounds one after the other, each a table of assignments and one of centroids, component by component."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, sha256('3:' || vec_id) AS h
+          FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        "long AS MATERIALIZED (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT n - 1 AS c, unnest(range(len(v))) AS i, unnest(v) AS x FROM (SELECT v, row_number() OVER (ORDER BY h) AS n FROM kept) WHERE n <= {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM
+          (SELECT vec_id, c, CAST(sum((long.x - c{r}.x) * (long.x - c{r}.x)) AS BIGINT) AS d FROM long JOIN c{r} USING (i) GROUP BY vec_id, c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.c, c{r}.i, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN
+              (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM long JOIN a{r} USING (vec_id) GROUP BY c, i)) m ON m.c = c{r}.c AND m.i = c{r}.i)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)
+"""
+
+
+INFILL = r"""
+WITH said AS (SELECT doc_id, coalesce(text, '') AS said, sha256('7:' || doc_id) AS h FROM documents),
+cut AS (SELECT *, regexp_extract_all(said, '[^\n]*\n|[^\n]+') AS units FROM said),
+drawn AS (SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS b,
+  CASE WHEN said = '' OR contains(said, '<P>') OR contains(said, '<S>') OR contains(said, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+       WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT doc_id, said, n, form, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS m, coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS s FROM drawn),
+made AS (SELECT *, CASE form WHEN 'plain' THEN said WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts),
+halves AS (SELECT *, split_part(output, '<M>', 1) AS head, split_part(output, '<M>', 2) AS mid FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN substr(split_part(head, '<S>', 1), 4) || mid || split_part(head, '<S>', 2) ELSE split_part(head, '<P>', 2) || mid || substr(split_part(head, '<P>', 1), 4) END) AS restored_sha256
+FROM halves
+"""

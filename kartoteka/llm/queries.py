@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from kartoteka.llm import oracles
 from kartoteka.llm.chat import format_chats, read_back, turns_as_events
+from kartoteka.llm.clustering import cluster_report
 from kartoteka.llm.common import prepare, table
+from kartoteka.llm.exact import exact_duplicates
 from kartoteka.llm.fingerprint import edited_report
+from kartoteka.llm.infill import infill_report
 from kartoteka.llm.language import identify_language
 from kartoteka.llm.minhash import near_duplicates
 from kartoteka.llm.mixing import mix
@@ -76,6 +79,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix": op2_suffix,
@@ -87,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_vectors": op9_vectors,
     "op10_fingerprint": op10_fingerprint,
+    "op11_exact": op11_exact,
+    "op12_clusters": op12_clusters,
+    "op13_infill": op13_infill,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": oracles.MIXING,
@@ -94,4 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat": oracles.CHAT,
     "op8_minhash": oracles.NEAR_TEXTS,
     "op9_vectors": oracles.NEAR_VECTORS,
+    "op11_exact": oracles.COPIES,
+    "op12_clusters": oracles.clusters(),
+    "op13_infill": oracles.INFILL,
 }

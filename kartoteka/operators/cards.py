@@ -5,90 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartoteka.functions.display import looks_dumped, plain_parts, without_legal_tail
-from kartoteka.functions.text import fold, html_chunks, is_heading_line, let, norm_key, squeeze, strip_html
+from kartoteka.functions.display import looks_dumped, without_legal_tail
+from kartoteka.functions.text import fold, norm_key, squeeze
 from kartoteka.operators.pairs import pairs_of_attributes
+from kartoteka.operators.parsing import text_pairs
 
-#: An explicit separator between a key and its value.
-SEPARATOR = "\\s+[-–—]\\s+|\\s*:\\s+"
-#: Answers that stand alone.
-ANSWERS = "да|нет|есть|имеется"
-#: The next fact inside a value: after a full stop that ends no sentence's first word (an abbreviation), or after a bare answer.
-NEXT_SENTENCE = "(?<=[^.\\s]\\s[^\\s.]{1,40})\\.\\s+(?=\\p{L}[^:\\n]{1,80}:\\s*\\S)"
-NEXT_ANSWER = f"(?iu)(?<=[-–—:]\\s(?:да|нет))\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)|(?<=[-–—:]\\sесть)\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)|(?<=[-–—:]\\sимеется)\\s+(?=\\p{{L}}[^–—:\\n]{{2,70}}\\s*[-–—:]\\s*\\S)"
 #: A description without key words is believed from so many pairs on.
 FEWEST_PAIRS = 3
 
 
-def _bare_value(t: Column) -> Column:
-    return ~t.rlike(SEPARATOR) & (t.rlike(f"(?iu)^(?:{ANSWERS})$") | t.rlike("(?iu)^[A-GА-Е]\\+{0,3}$") | t.rlike("^-?\\d"))
-
-
-def _key_only(t: Column) -> Column:
-    return ~t.rlike(SEPARATOR) & ~_bare_value(t) & ~is_heading_line(t) & t.rlike("\\p{L}") & ~t.rlike("^\\d") & (F.length(t) <= 80)
-
-
-def stitched_lines(chunks: Column) -> Column:
-    """Lines with a key alone joined with the bare value on the next line ("key: value").
-
-    A line cannot be both, so each pair is seen from either end without replay.
-    """
-    seen = F.transform(chunks, lambda t: F.struct(t.alias("t"), _key_only(t).alias("k"), _bare_value(t).alias("v")))
-    at = lambda x, i, f: F.coalesce(F.get(x, i)[f], F.lit(False))
-    joined = lambda s: F.transform(s, lambda x, i: F.when(x["v"] & (i > 0) & at(s, i - 1, "k"), None).when(x["k"] & at(s, i + 1, "v"), F.concat_ws(": ", x["t"], F.get(s, i + 1)["t"])).otherwise(x["t"]))
-    return F.array_compact(let(seen, joined))
-
-
-def cut_glued(chunks: Column) -> Column:
-    """Chunks cut where another "key: value" follows a sentence or a bare answer."""
-    sentences = F.flatten(F.transform(chunks, lambda c: F.split(c, NEXT_SENTENCE)))
-    return F.filter(F.transform(F.flatten(F.transform(sentences, lambda c: F.split(c, NEXT_ANSWER))), squeeze), lambda c: c != "")
-
-
-def card_chunks(html: Column) -> Column:
-    """The chunks of a card's text that may hold facts: list items or lines, then what stands outside lists; else the parts of its paragraph."""
-    outside = lambda t: F.regexp_replace(F.regexp_replace(t, "(?is)<(ul|ol)(?:\\s[^>]*)?>.*?</\\1>", " "), "(?is)<li(?:\\s[^>]*)?>.*?</li>", " ")
-    rest = lambda t: F.when(F.length(strip_html(t)) > 20, html_chunks(t)).otherwise(F.array().cast("array<string>"))
-    lists = lambda t: F.when(t.rlike("(?i)<li[\\s>/]"), F.concat(html_chunks(t), let(outside(t), rest))).otherwise(html_chunks(t))
-    whole = lambda t, found: F.when(F.size(found) <= 1, F.coalesce(plain_parts(F.regexp_replace(t, "<[^>]+>", " ")), found)).otherwise(found)
-    chosen = lambda t: let(lists(t), lambda found: whole(t, found))
-    return let(let(let(F.coalesce(html, F.lit("")), chosen), stitched_lines), cut_glued)
-
-
-def chunk_pairs(chunks: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(columns of chunks but chunk, key, value, via, code): the fact of each chunk (id, source, seq, chunk).
-
-    An explicit separator counts unless its key is unknown and the chunk begins
-    with a known one; without a separator a known beginning counts before a
-    change from small letter to capital or digit. Legal phrases are cut off.
-    code is that of the key, if it is a synonym. synonyms: synonym, code, order.
-    Every chunk meets the dictionary under each of its beginnings in one join.
-    """
-    kept = [c for c in chunks.columns if c != "chunk"]
-    case = "^(.{2,}?[\\p{Ll})])\\s*(?=[\\p{Lu}\\d])"
-    rows = chunks.select(*kept, F.regexp_replace(squeeze(F.col("chunk")), "\\s*[.;]$", "").alias("t")).filter(~is_heading_line(F.col("t")))
-    rows = rows.withColumn("parts", F.split("t", SEPARATOR, 2)).withColumn("words", F.split("t", "\\s+"))
-    head = F.when((F.size("parts") == 2) & ~F.get("parts", F.lit(0)).rlike("^\\d"), F.nullif(squeeze(F.get("parts", F.lit(0))), F.lit("")))
-    rows = rows.withColumn("sep_key", head).withColumn("case_key", F.nullif(F.regexp_extract("t", case, 1), F.lit("")))
-    starts = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda n: F.struct(n.alias("n"), norm_key(F.array_join(F.slice("words", F.lit(1), n), " ")).alias("normal")))
-    starts = F.when(F.size("words") > 1, starts).otherwise(F.array().cast("array<struct<n:int,normal:string>>"))
-    asked = F.concat(starts, F.array(F.struct(F.lit(0).alias("n"), norm_key(F.col("sep_key")).alias("normal"))))
-    known = synonyms.select(norm_key(F.col("synonym")).alias("normal"), "code", "order").filter("normal <> ''").groupBy("normal").agg(F.min_by("code", F.struct("order", "code")).alias("code"))
-    met = rows.withColumn("s", F.explode(asked)).select("*", "s.n", "s.normal").drop("s").join(known, "normal", "left")
-    best = F.max(F.when((F.col("n") > 0) & F.col("code").isNotNull(), F.struct(F.length("normal").alias("length"), "n", "code"))).alias("start")
-    one = F.any_value(F.struct("t", "parts", "words", "sep_key", "case_key", *[c for c in kept if c not in ("id", "source", "seq")])).alias("r")
-    found = met.groupBy("id", "source", "seq").agg(one, best, F.max(F.when((F.col("n") == 0) & F.col("sep_key").isNotNull(), F.col("code"))).alias("sep_code"))
-    pair = lambda key, value, via, code: F.when(key.isNotNull() & (value != ""), F.struct(key.alias("key"), value.alias("value"), F.lit(via).alias("via"), code.alias("code")))
-    n, words = F.col("start.n"), F.col("r.words")
-    rest = squeeze(F.regexp_replace(F.array_join(F.slice(words, n + 1, F.size(words)), " "), "^[:\\-–—]\\s*", ""))
-    sep = pair(F.col("r.sep_key"), squeeze(F.get("r.parts", F.lit(1))), "sep", F.col("sep_code"))
-    beginning = pair(F.when(n.isNotNull(), F.array_join(F.slice(words, F.lit(1), n), " ")), rest, "dict", F.col("start.code"))
-    change = F.when(F.length("r.case_key") >= 3, pair(F.col("r.case_key"), squeeze(F.regexp_replace(F.col("r.t"), case, "")), "case", F.lit(None).cast("string")))
-    done = found.withColumn("p", F.when(F.col("sep_code").isNotNull(), sep).otherwise(F.coalesce(beginning, sep, change))).filter("p is not null")
-    told = [F.col(c) if c in ("id", "source", "seq") else F.col(f"r.{c}") for c in kept]
-    return done.select(*told, "p.key", without_legal_tail(F.col("p.value")).alias("value"), "p.via", "p.code").filter("value <> ''")
-
-
 def product_facts(cards: DataFrame, synonyms: DataFrame, required: DataFrame) -> DataFrame:
     """(id, source, seq, key, value, via, code): shop attributes (S0), the annotation (S1), and of the description (S2) what is missing.
 
@@ -96,14 +21,15 @@ def product_facts(cards: DataFrame, synonyms: DataFrame, required: DataFrame) ->
     where a required attribute (code) is still open: whole, if it is a dump or
     nothing else speaks and it has three pairs; else the pairs that fill a hole.
     """
-    tagged = lambda c, s: F.transform(card_chunks(F.col(c)), lambda x, i: F.struct(F.lit(s).alias("source"), i.alias("seq"), x.alias("chunk")))
-    chunks = cards.select("id", looks_dumped(F.col("description")).alias("dump"), F.explode(F.concat(tagged("annotation", "S1"), tagged("description", "S2"))).alias("c")).select("id", "dump", "c.*")
-    shop = cards.select("id", looks_dumped(F.col("description")).alias("dump"), F.posexplode(pairs_of_attributes(F.col("attributes"))).alias("seq", "p"))
-    shop = shop.select("id", "dump", F.lit("S0").alias("source"), "seq", F.col("p.key").alias("key"), without_legal_tail(F.col("p.value")).alias("value"), F.lit("attr").alias("via")).filter("value <> ''")
+    read = cards.withColumn("dump", looks_dumped(F.col("description")))
+    told = text_pairs(read, {"annotation": "S1", "description": "S2"}, synonyms, keep=("dump",))
+    shop = read.select("id", "dump", F.posexplode(pairs_of_attributes(F.col("attributes"))).alias("at", "p"))
+    seq = F.struct(F.lit(0).alias("part"), F.col("at").alias("line"), F.lit(0).alias("phrase"), F.lit(0).alias("step"))
+    shop = shop.select("id", "dump", F.lit("S0").alias("source"), seq.alias("seq"), F.col("p.key").alias("key"), without_legal_tail(F.col("p.value")).alias("value"), F.lit("attr").alias("via")).filter("value <> ''")
     known = synonyms.select(norm_key(F.col("synonym")).alias("normal"), "code", "order").groupBy("normal").agg(F.min_by("code", F.struct("order", "code")).alias("code"))
     shop = shop.withColumn("normal", norm_key(F.col("key"))).join(known, "normal", "left").drop("normal")
     needed = required.select("code").distinct()
-    marked = chunk_pairs(chunks, synonyms).unionByName(shop).join(needed.withColumn("needed", F.lit(True)), "code", "left").crossJoin(F.broadcast(needed.agg(F.count("*").alias("n_required"))))
+    marked = told.unionByName(shop).join(needed.withColumn("needed", F.lit(True)), "code", "left").crossJoin(F.broadcast(needed.agg(F.count("*").alias("n_required"))))
     own, early = Window.partitionBy("id"), F.col("source").isin("S0", "S1")
     hole = F.when(F.col("needed"), F.col("code"))
     judged = marked.withColumns({"held": F.collect_set(F.when(early, hole)).over(own), "early": F.count_if(early).over(own), "late": F.count_if(~early).over(own)})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions import display, values
 from kartoteka.functions.text import decode_numeric_entities, is_heading_line, is_packing_key
-from kartoteka.operators import cards, consistency, match, normalise
+from kartoteka.operators import consistency, match, normalise, parsing
 
 
 def one(spark, column):
@@ -30,13 +30,21 @@ def synonyms(spark):
         ("<li>Страна: Россия Производитель на свое усмотрение и без уведомлений</li>", [("Страна", "Россия", "sep")]),
         ("Загрузка белья 4. Класс A. Количество полок 3.", [("Загрузка белья", "4", "dict"), ("Класс", "A", "dict"), ("Количество полок", "3", "dict")]),
         ("<p>Просто текст без фактов</p>", []),
+        ("Разморозка - капельная Количество полок - 55 шт", [("Разморозка", "капельная", "sep"), ("Количество полок", "55 шт", "sep")]),
+        ("Перевешиваемые двери - да Габариты без упаковки - 10x20", [("Перевешиваемые двери", "да", "sep"), ("Габариты без упаковки", "10x20", "sep")]),
+        ("Серия - новая Габариты без упаковки - 10x20", [("Серия", "новая", "sep"), ("Габариты без упаковки", "10x20", "sep")]),
+        ("Подставка для яиц. Морозильное отделение: ниже. Количество полок: 4 шт", [("Морозильное отделение", "ниже", "sep"), ("Количество полок", "4 шт", "sep")]),
+        ("Макс. загрузка: 6 кг", [("Макс. загрузка", "6 кг", "sep")]),
+        ("Холодильное отделение: Размораживание холодильной камеры: автоматическое (капельная система). Количество полок: 3 шт", [("Размораживание холодильной камеры", "автоматическое (капельная система)", "sep"), ("Количество полок", "3 шт", "sep")]),
+        ("<nav>" + "<li>Каталог</li>" * 40 + "</nav><p>Макс. загрузка: 6 кг. Макс. скорость отжима: 1000 об/мин.</p>", [("Макс. загрузка", "6 кг", "sep"), ("Макс. скорость отжима", "1000 об/мин", "sep")]),
+        ("Управление: Интерфейс: кнопки", [("Интерфейс", "кнопки", "sep")]),
+        ("Интерфейс 2D - да", [("Интерфейс", "2D - да", "dict")]),
         (None, []),
     ],
 )
 def test_chunks_to_pairs(spark, synonyms, html, want):
     df = spark.createDataFrame([(1, html)], "id int, html string")
-    chunks = df.select("id", F.lit("S1").alias("source"), F.posexplode(cards.card_chunks(F.col("html"))).alias("seq", "chunk"))
-    got = cards.chunk_pairs(chunks, synonyms).orderBy("seq").collect()
+    got = parsing.text_pairs(df, {"html": "S1"}, synonyms).orderBy("seq").collect()
     assert [(r.key, r.value, r.via) for r in got] == want
 
 

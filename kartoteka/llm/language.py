@@ -13,6 +13,7 @@ texts, so the model does not depend on how the table is dealt over tasks.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,12 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled texts of a language in the sample at most, windows taken from each, passes over them, windows of a batch, learning rate.
 SAMPLE, WINDOWS_EACH, EPOCHS, BATCH, RATE = 1_000, 3, 14, 64, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMERAL = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category (L*) is in the text; fractions, superscripts and numerals like Ⅷ are none."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _LETTER_OR_NUMERAL.finditer(text))
 
 
 def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +183,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             rows = batch.column(1).to_pylist()
             data = [(t or "").encode() for t in rows]
-            named = [bool(t and net.languages and _LETTER.search(t)) for t in rows]
+            named = [bool(t and net.languages and has_letter(t)) for t in rows]
             predicted, scores = [], []
             for a, b in slices(data, 1_000_000):
                 x, owner, sizes = windows(data[a:b])

@@ -82,7 +82,7 @@ def _celled(axes: dict[int, np.ndarray], width: float):
 def _tile(key: tuple, t: pa.Table) -> pa.Table:
     column = lambda c: np.array(t.column(c).to_pylist(), dtype=np.int64).tobytes()
     keys = dict(zip(("label", "d", "c1", "c2", "part"), (k.as_py() for k in key)))
-    types = {"label": pa.int64(), "d": pa.int32(), "c1": pa.int32(), "c2": pa.int32(), "part": pa.int64()}
+    types = {"label": pa.string(), "d": pa.int32(), "c1": pa.int32(), "c2": pa.int32(), "part": pa.int64()}
     out = {c: pa.array([v], types[c]) for c, v in keys.items()}
     return pa.table(out | {"nodes": pa.array([column("node")], pa.binary()), "weights": pa.array([column("weight")], pa.binary()), "vectors": pa.array([b"".join(t.column("vector").to_pylist())], pa.binary())})
 
@@ -157,8 +157,8 @@ def _compare(axes: dict[int, np.ndarray], threshold: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """One row per row: id, n_links (other rows linked directly), component_id, kept.
 
-    Rows are linked when labels are equal and not null, vectors have the same
-    length, and their cosine in double precision reaches the threshold. Null,
+    Rows are linked when labels (of any type that has a text, by that text) are
+    equal and not null, vectors have the same length, and their cosine in double precision reaches the threshold. Null,
     empty and zero vectors and those with a null or non-finite component link
     with nothing; they, and rows of null label, are their own component. Copies
     link with each other. component_id is the smallest id reachable; a null id
@@ -167,15 +167,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     values = F.col(vector_col).cast("array<double>")
     sound = F.coalesce(F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0) & F.col(label_col).isNotNull(), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.col(label_col).cast("long")).alias("label"), F.when(sound, values).alias("embedding"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.col(label_col).cast("string")).alias("label"), F.when(sound, values).alias("embedding"))
     filled = rows.filter("label is not null")
     nodes = cut(filled.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("weight"))).withColumn("node", F.monotonically_increasing_id())
     axes = principal_axes(nodes)
-    placed = nodes.select("node", "label", "embedding", "weight").mapInArrow(_celled(axes, math.sqrt(2 - 2 * threshold) * (1 + 1e-6)), "node long, label long, weight long, d int, c1 int, c2 int, vector binary")
+    placed = nodes.select("node", "label", "embedding", "weight").mapInArrow(_celled(axes, math.sqrt(2 - 2 * threshold) * (1 + 1e-6)), "node long, label string, weight long, d int, c1 int, c2 int, vector binary")
     cell = ["label", "d", "c1", "c2"]
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / tile).alias("parts"))
     tiles = placed.join(sizes, cell).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy(*cell, "part")
-    tiles = cut(tiles.applyInArrow(_tile, "label long, d int, c1 int, c2 int, part long, nodes binary, weights binary, vectors binary")).withColumn("tile", F.monotonically_increasing_id())
+    tiles = cut(tiles.applyInArrow(_tile, "label string, d int, c1 int, c2 int, part long, nodes binary, weights binary, vectors binary")).withColumn("tile", F.monotonically_increasing_id())
     around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
     left = tiles.select("label", "d", around("c1"), "c2", F.col("tile").alias("a")).select("label", "d", "c1", around("c2"), "a")
     pairs = left.join(tiles.select(*cell, F.col("tile").alias("b")), cell).filter("a <= b").select("a", "b", "d")

@@ -137,3 +137,10 @@ def test_scores_ignore_clashing_columns_and_repeats(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 0), (1, 1)], "doc_id long, toxic int")
     plain = {(r.doc_id, r.score) for r in toxicity.toxicity(df, labels).collect()}
     assert plain == {(r.doc_id, r.score) for r in toxicity.toxicity(clashing(df), clashing(labels)).collect()}
+
+
+def test_only_letters_count_as_letters():
+    from kartoteka.llm.language import has_letter
+
+    assert not any(has_letter(t) for t in ("", "½ ² ①", "Ⅷ 12", "٣ _ 。", "́"))
+    assert all(has_letter(t) for t in ("½ a", "ß", "中", "ʰ", "ª", "①ы"))

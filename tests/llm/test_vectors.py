@@ -57,3 +57,10 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_labels_are_compared_as_they_are(spark):
+    rows = [(1, 1.2, [1.0, 0.0]), (2, 1.7, [1.0, 0.0]), (3, 1.2, [1.0, 0.01])]
+    for kind, name in (("double", float), ("string", str)):
+        df = spark.createDataFrame([(i, name(x), v) for i, x, v in rows], f"vec_id long, label {kind}, embedding array<double>")
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect()) == [(1, 1, 1), (2, 0, 2), (3, 1, 1)]

@@ -16,8 +16,8 @@ from kartoteka.llm.mixing import mix
 from kartoteka.llm.packing import pack
 from kartoteka.llm.suffix import remove_repeats
 
-#: A document is rejected below this mean probability of its likeliest language.
-LEAST_CONFIDENCE = 0.35
+#: A document is rejected where its likeliest language is less than so many times as likely as by chance among those known.
+LEAST_OVER_CHANCE = 1.4
 #: Words of the shortest repeated passage that goes: passages of over 50 words do.
 REPEAT_WORDS = 51
 
@@ -29,7 +29,7 @@ def _same_rows(docs: DataFrame) -> list[Column]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no known language: without a letter, or none likely enough.
+    """Rejects documents in no known language: without a letter, or none clearly likelier than chance.
 
     Null and empty texts hold no letter and go. Rows are judged one by one, so
     repeated rows, tied and null ids do not matter; extra columns may have any
@@ -38,7 +38,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     named = identify_language(docs, row_col="row")
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select("row.*")
+    languages = docs.agg(F.countDistinct("lang")).first()[0]
+    likely = F.col("score") * languages >= min(LEAST_OVER_CHANCE, languages)
+    return named.filter((F.col("lang_pred") != UNKNOWN) & likely).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from kartoteka.functions.text import fold, norm_key, token_bag, value_fold
 from kartoteka.functions.values import normalize_value
 from kartoteka.operators.match import LEAST_LIKENESS, blacklisted, pair_likeness
 from kartoteka.operators.resolve import resolve_facts, source_rank
+from kartoteka.storage import computed_once
 
 #: Bare keys that a value tells apart, and what the value must look like.
 RESCUES = (("тип", "washer_type", "^(?:автомат(?:ическая)?|полуавтомат(?:ическая)?)$"), ("класс", "energy_class", "^[a-gа-е]\\+{1,3}$"))
@@ -84,8 +85,10 @@ def normalize_products(pairs: DataFrame, attributes: DataFrame, synonyms: DataFr
 
     pairs: id, seq, key, value, level. attributes: code, kind, unit, lo, hi. A
     fact is the first one of the highest source; status is ok, the reason why a
-    value was refused, or unmapped for keys of no attribute.
+    value was refused, or unmapped for keys of no attribute. pairs are computed
+    once: matching looks at them several times, and reading cards is costly.
     """
+    pairs = computed_once(pairs)
     matched = match_pairs(pairs, synonyms, blacklist, least)
     joined = pairs.join(matched.select("key", "value", "code"), ["key", "value"]).join(attributes, "code", "left")
     read = normalize_value(F.col("kind"), F.col("value"), F.col("lo"), F.col("hi"), F.col("unit"), F.col("key"))

@@ -250,7 +250,9 @@ def text_pairs(cards: DataFrame, texts: dict[str, str], synonyms: DataFrame, bla
     phrases after a value are cut off. Ids are one a card.
     """
     outside = lambda t: F.regexp_replace(F.regexp_replace(t, "(?is)<(ul|ol)(?:\\s[^>]*)?>.*?</\\1>", " "), "(?is)<li(?:\\s[^>]*)?>.*?</li>", " ")
-    told = known_keys(cards.select("id", *keep, *texts), list(texts), synonyms, blacklist)
+    # reading a card costs far more than moving it: cards are dealt out to as many tasks as a shuffle has, however few bytes they are, and the join on id needs no other exchange
+    dealt = cards.select("id", *keep, *texts).repartition(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    told = known_keys(dealt, list(texts), synonyms, blacklist)
     each = told.select("id", *keep, "known", "barred", _each(F.array(*[F.struct(F.lit(source).alias("source"), F.coalesce(F.col(c), F.lit("")).alias("html")) for c, source in texts.items()])).alias("t")).select("*", "t.*").drop("t")
     each = each.filter("html <> ''").withColumn("rest", F.when(F.col("html").rlike("(?i)<li[\\s>/]"), outside(F.col("html"))))
     parts = F.when(F.length(strip_html(F.col("rest"))) > 20, F.array("html", "rest")).otherwise(F.array("html"))

@@ -16,8 +16,8 @@ from kartoteka.llm.mixing import mix
 from kartoteka.llm.packing import pack
 from kartoteka.llm.suffix import remove_repeats
 
-#: A document is rejected where its likeliest language is less than so many times as likely as by chance among those known.
-LEAST_OVER_CHANCE = 1.4
+#: A document is rejected where its likeliest language lies less than this share of the way from chance (one of all known) to certainty.
+LEAST_SURE = 2 / 15
 #: Words of the shortest repeated passage that goes: passages of over 50 words do.
 REPEAT_WORDS = 51
 
@@ -38,8 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     named = identify_language(docs, row_col="row")
-    languages = docs.agg(F.countDistinct("lang")).first()[0]
-    likely = F.col("score") * languages >= min(LEAST_OVER_CHANCE, languages)
+    chance = 1 / max(1, docs.agg(F.countDistinct("lang")).first()[0])
+    likely = F.col("score") >= chance + LEAST_SURE * (1 - chance) - 1e-6
     return named.filter((F.col("lang_pred") != UNKNOWN) & likely).select("row.*")
 
 

@@ -156,7 +156,7 @@ def classified_keys(keys: DataFrame, approved: DataFrame) -> DataFrame:
 KINDS = (
     ("accessory", "соединительн|элемент\\s*ck|комплект\\s*для\\s*колонн|переходник", "стиральн|стир\\.?\\s*машин|ст[\\s-]?маш|холодильник"),
     ("dryer", "сушильн|суш(?:ильная)?\\s*маш", "стиральн|стир\\.?\\s*машин|ст[\\s-]?маш"),
-    ("washer-dryer", "стирально[-\\s]?сушильн|с\\s+сушкой|с\\s+функци(?:ей|я)\\s+сушк|сушка\\s*[-–—:]\\s*(?:да|есть|\\+)|для\\s+сушки|\\(\\s*сушка\\s*\\)", None),
+    ("washer-dryer", "стирально[-\\s]?сушильн|с\\s+сушкой|с\\s+функци(?:ей|я)\\s+сушк|\\bHWD\\d|сушка\\s*[-–—:]\\s*(?:да|есть|\\+)|для\\s+сушки|\\(\\s*сушка\\s*\\)|(?:загрузк[а-яёa-z]*|цикл[ае]?)\\s+[^\\n.]{0,32}сушк", None),
     ("washer", "стиральн|стир\\.?\\s*машин|ст[\\s-]?маш", None),
     ("fridge", "холодильник", None),
     ("hood", "вытяжк|воздухоочист", None),
@@ -181,6 +181,18 @@ def product_kind(name: Column, extra: Column | None = None) -> Column:
     return F.when(by_name.isin("dryer", "accessory", "fridge", "hood"), by_name).when(by_all == "washer-dryer", by_all).when(by_name.isin("washer", "washer-dryer"), by_name).otherwise(by_all)
 
 
+#: Where a product of a foreign kind belongs, by the category it stands in.
+SUGGESTED = {("accessory", 467): 487}
+
+
+def suggested_category(kind: Column, category: Column) -> Column:
+    """The category a product of a kind should move to from its own; null where none is known."""
+    out = F.lit(None).cast("long")
+    for (of, at), to in SUGGESTED.items():
+        out = F.when((kind == of) & (category == at), F.lit(to).cast("long")).otherwise(out)
+    return out
+
+
 def fits_category(kind: Column, expected: Column) -> Column:
     """Whether a product of a kind belongs in a category of the expected one; unknown kinds and categories always do."""
     return expected.isNull() | (kind == expected) | (kind == "other") | ((expected == "washer") & (kind == "washer-dryer"))

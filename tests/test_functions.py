@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kartoteka.functions import buckets, text, values
-from kartoteka.operators import facets, match, pairs, reports, resolve, shape
+from kartoteka.operators import facet_catalog, facets, match, pairs, reports, resolve, shape
 
 
 def run(spark, column, *inputs):
@@ -105,3 +105,16 @@ def test_reports_and_shape(spark):
     assert run(spark, shape.snake_key, "Скорость отжима, об/мин") == ["скорость_отжима_об_мин"]
     with pytest.raises(KeyError):
         resolve.cross_check(facts, facts, ["id"], "value", "value", 1.0, 0.0, policy="other")
+
+
+def test_answers_classes_ranges_and_kinds(spark):
+    assert run(spark, values.parse_boolean, "+", "on", "Поддерживается", "выключено", "Не поддерживается", "не предусмотрено", "без сушки", "есть дисплей", "1", "-", "белый") == [True, True, True, False, False, False, False, True, True, None, None]
+    assert run(spark, values.class_scale, "Б", "г", "д++", "A (B++)", "ЕС", "класс Е", "С+", "EU", None) == ["B", "G", "D++", "B++", None, "E", "C+", None, None]
+    assert [tuple(r) for r in run(spark, values.parse_range, "от 1 200 до 1 400", "7 8", "1 200")] == [(1200.0, 1400.0), (7.0, 8.0), (1200.0, 1200.0)]
+    assert [r and (r.lo, r.hi) for r in run(spark, values.bounds_of, "до 1 200", "от 1 200 до 1 400", "от 5")] == [(0.0, 1200.0), (1200.0, 1400.0), (5.0, float("inf"))]
+    enum = lambda c: values.normalize_value(F.lit("enum"), c, F.lit(None), F.lit(None), key=F.lit("Цвет корпуса"))
+    assert [(r.value, r.reason) for r in run(spark, enum, "светодиодное 5 Вт", "6 кг", "Материал", "цвет корпуса", "белый")] == [("светодиодное 5 Вт", None), (None, "qty_in_enum"), (None, "echo_value"), (None, "echo_value"), ("белый", None)]
+    names = ("HWD70BP14929B Стиральная машина Haier", "Cтиральная машина Renova WS-35E(BL)", "C47TD H10A2BSW-07 суш маш Candy", "Стиральная машина LG с функцией сушки F1296CDS0X", "B3WFR572AB RU Ст-МашA1 Beyond", "Соединительный элемент CK-3")
+    assert run(spark, facet_catalog.product_kind, *names) == ["washer-dryer", "washer", "dryer", "washer-dryer", "washer", "accessory"]
+    assert run(spark, lambda c: facet_catalog.product_kind(F.lit("Стиральная машина Beko WDB7425R2W"), c), "Объем - 7 (стирка)/4 (сушка) кг", "Загрузка белья для сушки", "Загрузка 6 кг") == ["washer-dryer", "washer-dryer", "washer"]
+    assert run(spark, lambda c: facet_catalog.suggested_category(c, F.lit(467)), "accessory", "dryer") == [487, None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.operators import parsing
 from kartoteka.plans.catalog import _table, query
+from kartoteka.sources import web
 
 #: A dictionary of keys; the texts hold further keys that it does not know.
 _KEYS = [("Вес", "weight", 1), ("Цвет", "colour", 2), ("Разморозка", "defrost", 3), ("Количество полок", "shelves", 4), ("Габариты без упаковки", "size", 5)]
@@ -60,3 +61,33 @@ def glued_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     synonyms = spark.createDataFrame(_KEYS, "synonym string, code string, order int")
     found = parsing.text_pairs(_glued(spark, sf_dir), {"annotation": "S1"}, synonyms)
     return found.select("id", F.col("seq.line").cast("long").alias("chunk"), F.col("seq.step").alias("step"), "key", "value")
+
+
+_LD = """'{"@graph":[[{"@type":"Product","brand":{"name":"' || host || '"},"width":{"value":' || n || ',"unitText":"см"},"additionalProperty":[{"name":"Длина страницы","value":' || n || '},{"propertyID":"Пустое","value":""}]}],{"@graph":[[[{"color":["' || lang || '","x"],"width":"1 см","material":{"name":"нет"}}]]]}],}'"""
+
+
+@query(rf"""
+WITH RECURSIVE p AS (SELECT page_id, length(html) AS n, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang FROM pages),
+nodes AS (
+  SELECT page_id, 0 AS depth, regexp_replace({_LD}, ',\s*([}}\]])', '\1', 'g')::JSON AS x FROM p
+  UNION ALL
+  SELECT page_id, depth + 1, unnest(CASE json_type(x) WHEN 'ARRAY' THEN from_json(x, '["JSON"]') ELSE [x->'@graph'] END) FROM nodes WHERE depth < 8 AND (json_type(x) = 'ARRAY' OR json_exists(x, '$."@graph"'))),
+scalars AS (
+  SELECT page_id, depth, label AS key, CASE json_type(v) WHEN 'ARRAY' THEN v->>0 WHEN 'OBJECT' THEN (v->>'value') || coalesce(' ' || (v->>'unitText'), '') ELSE v->>'$' END AS value
+  FROM (SELECT page_id, depth, label, x->field AS v FROM nodes, (VALUES ('color', 'Цвет'), ('width', 'Ширина'), ('material', 'Материал')) f(field, label) WHERE json_type(x) = 'OBJECT')
+  UNION ALL SELECT page_id, depth, 'Бренд', x->'brand'->>'name' FROM nodes WHERE json_type(x) = 'OBJECT'
+  UNION ALL SELECT page_id, depth, coalesce(a->>'name', a->>'propertyID'), a->>'value' FROM (SELECT page_id, depth, unnest(from_json(x->'additionalProperty', '["JSON"]')) AS a FROM nodes WHERE json_type(x) = 'OBJECT' AND json_exists(x, '$.additionalProperty')))
+SELECT page_id, key, arg_min(value, depth) AS value, 'jsonld' AS via FROM scalars WHERE value <> '' GROUP BY page_id, key
+UNION ALL SELECT page_id, 'Высота', n || ' см', 'table' FROM p
+UNION ALL SELECT page_id, 'Хост', host, 'table' FROM p
+UNION ALL SELECT page_id, 'Язык', lang, 'dl' FROM p WHERE lang <> ''
+UNION ALL SELECT page_id, 'Тип загрузки', 'фронтальная ' || n, 'column' FROM p
+UNION ALL SELECT page_id, 'Скорость отжима', n || ' об/мин', 'item' FROM p
+""")
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of shop pages: nested structured data with commas too many, rows of three cells, definitions, columns and list items, the first of equal keys."""
+    p = _table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("string").alias("n"), F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"))
+    data = F.concat(F.lit('<script type="application/ld+json"><!--{"@graph":[[{"@type":"Product","brand":{"name":"'), "host", F.lit('"},"width":{"value":'), "n", F.lit(',"unitText":"см"},"additionalProperty":[{"name":"Длина страницы","value":'), "n", F.lit('},{"propertyID":"Пустое","value":""}]}],{"@graph":[[[{"color":["'), "lang", F.lit('","x"],"width":"1 см","material":{"name":"нет"}}]]]}],}--></script>'))
+    table = F.concat(F.lit("<table><tr><td>Высота</td><td>"), "n", F.lit("</td><td>см</td></tr><tr><td>★</td><td>Хост</td><td>"), "host", F.lit("</td></tr></table><dl><dt>Язык</dt><dd>"), "lang", F.lit("</dd></dl>"))
+    beside = F.concat(F.lit('<div class="row"><div class="col-sm-5 text-muted">Тип загрузки</div><div class="col-sm-7">фронтальная '), "n", F.lit('</div></div><ul><li><span>Скорость отжима</span><span>'), "n", F.lit(" об/мин</span></li></ul>"))
+    return web.page_pairs(p.select("page_id", F.concat(data, table, beside).alias("html")), "html").select("page_id", "key", "value", "via")

@@ -52,3 +52,27 @@ def test_nothing_ends_at_a_bound(spark):
     assert [tuple(r) for r in audit.value_claims(texts, "id", "text", aliases).collect()] == [(1, "k", "long")]
     page = "<html>" + '<p itemtype="https://schema.org/Product" data-sku="7">' * 100_002
     assert listing_items(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")).select("place").count() == 100_002
+
+
+def test_facts_of_pages(spark):
+    pages = [
+        """<script type="application/ld+json">{"@type": "Product", "additionalProperty": [{"name": "Максимальная загрузка", "value": "7 кг"}], "width": {"value": 60, "unitText": "см"}}</script>
+        <div class="chars__name">Скорость отжима</div>
+        <div class="chars__value">1200 об/мин</div>""",
+        """<h3>Характеристики</h3><div class="row"><div class="col-sm-5 text-muted">Тип загрузки</div><div class="col-sm-7">фронтальная</div></div>
+        <div class="row"><div class="col-sm-5">Макс. загрузка</div><div class="col-sm-7">6 кг</div></div><ul><li><span>Скорость отжима</span><span>1200 об/мин</span></li></ul>""",
+        '<div class="name">Цвет</div><div class="value">белый</div>',
+        '<script type="application/ld+json"><!--{"@type":"Product","additionalProperty":[{"name":"Загрузка","value":"6 кг"}]}--></script>',
+        "<table><tr><th>Вес</th><td>5</td></tr><tr><td>вес</td><td>6</td></tr><tr><td>одна</td></tr></table>",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page int, html string")
+    got = web.page_pairs(df, "html").collect()
+    assert [(r.page, r.key, r.value, r.via) for r in sorted(got, key=lambda r: (r.page, r.place))] == [
+        (0, "Максимальная загрузка", "7 кг", "jsonld"), (0, "Ширина", "60 см", "jsonld"), (0, "Скорость отжима", "1200 об/мин", "block"),
+        (1, "Тип загрузки", "фронтальная", "column"), (1, "Макс. загрузка", "6 кг", "column"), (1, "Скорость отжима", "1200 об/мин", "item"),
+        (2, "Цвет", "белый", "block"), (3, "Загрузка", "6 кг", "jsonld"), (4, "Вес", "5", "table"),
+    ]
+    cells = [["Ширина", "60 см"], ["★", "Ширина", "60 см"], ["Высота", "85", "см"], ["a"], ["Вес", "-", "5"]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c array<string>").select("i", web.cells_pair(F.col("c")).alias("p")).orderBy("i").collect()
+    assert [r.p and tuple(r.p) for r in rows] == [("Ширина", "60 см"), ("Ширина", "60 см"), ("Высота", "85 см"), None, ("Вес", "5")]

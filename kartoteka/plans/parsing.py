@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartoteka.functions import markup
 from kartoteka.operators import parsing
 from kartoteka.plans.catalog import _table, query
 from kartoteka.sources import web
@@ -91,3 +92,47 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = F.concat(F.lit("<table><tr><td>Высота</td><td>"), "n", F.lit("</td><td>см</td></tr><tr><td>★</td><td>Хост</td><td>"), "host", F.lit("</td></tr></table><dl><dt>Язык</dt><dd>"), "lang", F.lit("</dd></dl>"))
     beside = F.concat(F.lit('<div class="row"><div class="col-sm-5 text-muted">Тип загрузки</div><div class="col-sm-7">фронтальная '), "n", F.lit('</div></div><ul><li><span>Скорость отжима</span><span>'), "n", F.lit(" об/мин</span></li></ul>"))
     return web.page_pairs(p.select("page_id", F.concat(data, table, beside).alias("html")), "html").select("page_id", "key", "value", "via")
+
+
+_ALLOWED = ("html", "head", "body", "title", "nav", "article", "div", "p", "b", "ul", "li", "a", "h1", "table", "tr", "td")
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*\b[^>]*>'), lambda x: {{'tag': lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)), 'closes': starts_with(x, '</'), 'single': suffix(x, '/>')}}) AS k FROM pages),
+s AS (
+  SELECT page_id, 0 AS i, []::VARCHAR[] AS open, []::VARCHAR[] AS errors FROM t
+  UNION ALL
+  SELECT page_id, i + 1, CASE WHEN NOT listed OR x.single THEN open WHEN x.closes THEN open[:-2] ELSE list_append(open, x.tag) END,
+    CASE WHEN NOT listed THEN list_append(errors, 'tag_not_allowed:' || x.tag) WHEN NOT x.single AND x.closes AND open[-1] IS DISTINCT FROM x.tag THEN list_append(errors, 'tag_not_closed:' || x.tag) ELSE errors END
+  FROM (SELECT page_id, i, open, errors, k[i + 1] AS x, list_contains({list(_ALLOWED)}, k[i + 1].tag) AS listed FROM s JOIN t USING (page_id) WHERE i < len(k))),
+done AS (SELECT page_id, arg_max(open, i) AS open, arg_max(errors, i) AS errors FROM s GROUP BY page_id),
+found AS (SELECT page_id, list_transform(regexp_extract_all(html, '&[a-zA-Z#][a-zA-Z0-9]*;'), lambda e: 'html_entity:' || e) || errors || list_transform(open, lambda o: 'tag_not_closed:' || o)
+  || CASE WHEN length(replace(html, '<', '')) <> length(replace(html, '>', '')) THEN ['angle_bracket_unbalanced:' || (length(html) - length(replace(html, '<', ''))) || '/' || (length(html) - length(replace(html, '>', '')))] ELSE [] END AS e FROM done JOIN t USING (page_id))
+SELECT page_id, len(e) AS faults, split_part(e[1], ':', 1) AS kind, regexp_replace(e[1], '^[^:]*:', '') AS detail FROM found
+""")
+def markup_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's faults of markup and the first of them, tags read in order with a stack."""
+    found = _table(spark, sf_dir, "pages").select("page_id", markup.markup_errors(F.col("html"), _ALLOWED).alias("e"))
+    first = F.get("e", F.lit(0))
+    return found.select("page_id", F.size("e").cast("long").alias("faults"), first["kind"].alias("kind"), first["detail"].alias("detail"))
+
+
+@query(r"""
+WITH RECURSIVE whole AS (SELECT event_id, '{"id":' || event_id || ',"type":"' || event_type || '","props":' || coalesce(props, 'null') || ',"all":[1,{"user":"\"' || user_id || ']"}]}' AS t FROM events),
+t AS (SELECT event_id, trim(left(t, 1 + (event_id * 7 % length(t))::INT)) AS t FROM whole),
+s AS (
+  SELECT event_id, 0 AS i, false AS inside, false AS esc, '' AS open FROM t
+  UNION ALL
+  SELECT event_id, i + 1, CASE WHEN inside THEN esc OR c <> '"' ELSE c = '"' END, inside AND NOT esc AND c = '\',
+    CASE WHEN inside THEN open WHEN c IN ('{', '[') THEN CASE c WHEN '{' THEN '}' ELSE ']' END || open WHEN c IN ('}', ']') AND left(open, 1) = c THEN substr(open, 2) ELSE open END
+  FROM (SELECT event_id, i, inside, esc, open, substr(t, i + 1, 1) AS c, t FROM s JOIN t USING (event_id)) WHERE i < length(t)),
+ends AS (SELECT event_id, t, inside, open FROM s JOIN t USING (event_id) WHERE i = length(t)),
+done AS (SELECT event_id, regexp_replace(t || CASE WHEN inside THEN '"' ELSE '' END, ',\s*$', '') || open AS c FROM ends)
+SELECT event_id, c AS completed, CASE WHEN json_valid(c) THEN (c::JSON)->>'type' END AS type FROM done
+""")
+def cut_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON cut off anywhere, its last string and its brackets closed, and what can be read of it."""
+    e = _table(spark, sf_dir, "events")
+    whole = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('","props":'), F.coalesce("props", F.lit("null")), F.lit(',"all":[1,{"user":"\\"'), F.col("user_id").cast("string"), F.lit(']"}]}'))
+    rows = e.select("event_id", whole.alias("t")).select("event_id", F.left("t", (1 + F.col("event_id") * 7 % F.length("t")).cast("int")).alias("t"))
+    return rows.select("event_id", markup.completed_json(F.col("t")).alias("completed"), F.try_variant_get(markup.answered_json(F.col("t")), "$.type", "string").alias("type"))

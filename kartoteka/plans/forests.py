@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.operators import canons
+from kartoteka.operators import canons, identity
 from kartoteka.plans.catalog import _table, query
 
 
@@ -27,3 +27,22 @@ def one_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "part").filter("p_name is not null and p_brand is not null").select("p_brand", F.split("p_name", " ").alias("w"))
     starts = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(3))), lambda n: F.array_join(F.slice("w", F.lit(1), n), " "))
     return canons.unified_spellings(words.select("p_brand", F.explode(starts).alias("value")), "p_brand", "value")
+
+
+@query(r"""
+WITH m AS (SELECT p_partkey, p_brand, CASE WHEN coalesce(p_size, 0) % 2 = 0 THEN 50 ELSE 60 END AS width FROM part),
+t AS (SELECT o_orderkey, o_custkey AS k, 'Купить ' || CASE WHEN o_custkey % 3 = 0 THEN 'rx' ELSE 'RX-' END || o_custkey || CASE WHEN length(o_orderpriority) % 2 = 0 THEN ' 50' ELSE '_60' END || ', ' || coalesce(b.p_brand, '') || '; RX7' || o_custkey AS said FROM orders LEFT JOIN part b ON b.p_partkey = o_custkey + (o_orderkey % 2))
+SELECT p_partkey AS product_id, o_orderkey AS page_id FROM t JOIN m ON p_partkey = k
+WHERE regexp_matches(lower(said), '(^|[^a-z0-9])rx[\s\-_/]*' || p_partkey || '[\s\-_/]*' || width || '([^a-z0-9]|$)') AND (coalesce(p_brand, '') = '' OR contains(said, p_brand || ';'))
+  AND NOT (p_partkey IN (40, 45, 50, 55, 60, 70, 80, 90) AND p_partkey <> width) -- reads as another width of RX
+""")
+def identified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, one an order, that name a part's model in one spelling or another, its width and its brand."""
+    parts = _table(spark, sf_dir, "part")
+    model = F.concat(F.lit("RX "), F.col("p_partkey").cast("string"), F.when(F.coalesce("p_size", F.lit(0)) % 2 == 0, "-50").otherwise("-60"))
+    products = parts.select(F.col("p_partkey").alias("product_id"), F.lit(None).cast("string").alias("name"), F.col("p_brand").alias("brand"), model.alias("model"), F.lit(None).cast("array<string>").alias("brand_names"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("p_partkey"))
+    key = F.col("o_custkey").cast("string")
+    said = F.concat(F.lit("Купить "), F.when(F.col("o_custkey") % 3 == 0, "rx").otherwise("RX-"), key, F.when(F.length("o_orderpriority") % 2 == 0, " 50").otherwise("_60"), F.lit(", "), F.coalesce("p_brand", F.lit("")), F.lit("; RX7"), key)
+    pages = orders.join(parts.select("p_partkey", "p_brand"), "p_partkey", "left").select(F.col("o_orderkey").alias("page_id"), said.alias("text"))
+    return identity.product_pages(pages, products)

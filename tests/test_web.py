@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from kartoteka import plans
-from kartoteka.operators import audit, derive
+from kartoteka.operators import audit, derive, identity
 from kartoteka.sources import web
 from kartoteka.sources.products import listing_items
 
@@ -76,3 +76,28 @@ def test_facts_of_pages(spark):
     cells = [["Ширина", "60 см"], ["★", "Ширина", "60 см"], ["Высота", "85", "см"], ["a"], ["Вес", "-", "5"]]
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c array<string>").select("i", web.cells_pair(F.col("c")).alias("p")).orderBy("i").collect()
     assert [r.p and tuple(r.p) for r in rows] == [("Ширина", "60 см"), ("Ширина", "60 см"), ("Высота", "85 см"), None, ("Вес", "5")]
+
+
+def test_pages_of_a_product(spark):
+    cases = [
+        ("WW80AG6S28AELP Indesit", None, "Indesit", "WW80AG6S28AELP", None, True),
+        ("WW80AGAS26AXLP Indesit", None, "Indesit", "WW80AG6S28AELP", None, False),
+        ("Бирюса M418", None, "Бирюса", "418", None, False),
+        ("Indesit BWSE 7129X WSV RU", None, "Indesit", "BWSE 7129X WSV RU", None, True),
+        ("Стиральная машина Индезит BWSE 7129X WSV RU", None, "Indesit", "BWSE 7129X WSV RU", ["Индезит"], True),
+        ("Стиральная машина BWSE 7129X WSV RU", None, "Indesit", "BWSE 7129X WSV RU", ["Индезит"], False),
+        ("Холодильник DON R 290 G объём 310", "Холодильник DON R 290 G", None, None, None, True),
+        ("Холодильник DON R 291 G", "Холодильник DON R 290 G", None, None, None, False),
+        ("Холодильник белый", "Холодильник белый", None, None, None, False),
+        ("Стиральная машина ATLANT SMA 60C1010 белая", None, "ATLANT", "60С1010", None, True),
+        ("Вытяжка Integra-60, чёрная", None, None, "Integra-50", None, False),
+        ("Вытяжка Integra 50 и Integra-60", None, None, "Integra-50", None, True),
+        ("Вытяжка Integra Glass 50", None, None, "Integra-50", None, False),
+        ("Модель R290, белая", None, None, "R 290", None, True),
+    ]
+    for text, name, brand, model, names, want in cases:
+        pages = spark.createDataFrame([(1, text)], "page_id int, text string")
+        product = spark.createDataFrame([(7, name, brand, model, names)], "product_id int, name string, brand string, model string, brand_names array<string>")
+        assert (identity.product_pages(pages, product).count() > 0) == want, (text, model)
+    words = spark.createDataFrame([("Холодильник белый",), ("Холодильник DON R 290 G",)], "n string").select(identity.key_words(F.col("n")).alias("w")).collect()
+    assert [r.w for r in words] == [[], ["DON", "290"]]

@@ -34,7 +34,8 @@ WITH m AS (SELECT p_partkey, p_brand, CASE WHEN coalesce(p_size, 0) % 2 = 0 THEN
 t AS (SELECT o_orderkey, o_custkey AS k, 'Купить ' || CASE WHEN o_custkey % 3 = 0 THEN 'rx' ELSE 'RX-' END || o_custkey || CASE WHEN length(o_orderpriority) % 2 = 0 THEN ' 50' ELSE '_60' END || ', ' || coalesce(b.p_brand, '') || '; RX7' || o_custkey AS said FROM orders LEFT JOIN part b ON b.p_partkey = o_custkey + (o_orderkey % 2))
 SELECT p_partkey AS product_id, o_orderkey AS page_id FROM t JOIN m ON p_partkey = k
 WHERE regexp_matches(lower(said), '(^|[^a-z0-9])rx[\s\-_/]*' || p_partkey || '[\s\-_/]*' || width || '([^a-z0-9]|$)') AND (coalesce(p_brand, '') = '' OR contains(said, p_brand || ';'))
-  AND NOT (p_partkey IN (40, 45, 50, 55, 60, 70, 80, 90) AND p_partkey <> width) -- reads as another width of RX
+  AND NOT (p_partkey IN (40, 45, 50, 55, 60, 70, 80, 90) AND p_partkey <> width AND width = 50) -- reads as another width of RX, unless an underscore goes on
+UNION SELECT p_partkey, o_orderkey FROM t JOIN m ON '7' || k = p_partkey || width::VARCHAR WHERE coalesce(p_brand, '') = '' OR contains(said, p_brand || ';') -- the last word, run together
 """)
 def identified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, one an order, that name a part's model in one spelling or another, its width and its brand."""

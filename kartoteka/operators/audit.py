@@ -105,6 +105,38 @@ def stratified_sample(rows: DataFrame, stratum: str, balance: str, key: str, per
     return rows.withColumn("_h", h).withColumn("_turn", turn).withColumn("place", place).filter(F.col("place") <= per_stratum).drop("_h", "_turn")
 
 
+def fnv1a(c: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's characters, as a long; a character above the basic plane counts as one."""
+    step = lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(2166136261).cast("long"), step)
+
+
+def stratified_pick(rows: DataFrame, key: str, balance: str, strata: list[tuple[str, Column, int]], size: int) -> DataFrame:
+    """(key, strata): up to `size` rows, a quota from each stratum (name, condition, quota) in turn, the rest from all.
+
+    Strata may overlap; a row is taken once. Each round takes rows of the least
+    taken values of `balance` first, then by the hash of the key, then by the
+    key, so reruns agree. A row's strata are all that it fits, `plain` for none.
+    A sampling operator: its counts are its purpose, and all that the driver
+    holds are the keys taken so far. Keys are one a row; null keys are left out.
+    """
+    spark = rows.sparkSession
+    kinds = f"key {rows.schema[key].dataType.simpleString()}, brand {rows.schema[balance].dataType.simpleString()}"
+    told = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds, _ in strata]))
+    asked = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(balance).alias("brand"), fnv1a(F.col(key).cast("string")).alias("h"), told.alias("strata"))
+    taken: list = []
+    for name, quota in [*[(n, q) for n, _, q in strata], (None, None)]:
+        room = size - len(taken) if quota is None else quota
+        if room <= 0:
+            continue
+        chosen = F.broadcast(spark.createDataFrame([(r["key"], r["brand"]) for r in taken], kinds))  # at most all quotas and `size` rows
+        open_ = asked.join(chosen.select("key"), "key", "left_anti").join(F.broadcast(chosen.groupBy("brand").agg(F.count("*").alias("n")).withColumnRenamed("brand", "b")), F.col("brand").eqNullSafe(F.col("b")), "left")
+        fits = open_ if name is None else open_.filter(F.array_contains("strata", name))
+        taken += fits.orderBy(F.coalesce("n", F.lit(0)), "h", "key").limit(room).select("key", "brand", "strata").collect()
+    out = [(r["key"], r["strata"] or ["plain"]) for r in taken[:size]]
+    return spark.createDataFrame(out, f"{key} {rows.schema[key].dataType.simpleString()}, strata array<string>")
+
+
 def enrichment_order(facts: DataFrame, products: DataFrame, tiers: DataFrame) -> DataFrame:
     """(id, missing_a, missing_b, priority): what each product lacks of tiers A and B; B weighs 1000 to A's 1.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.operators import canons, identity
+from kartoteka.operators import audit, canons, identity
 from kartoteka.plans.catalog import _table, query
 
 
@@ -47,3 +47,25 @@ def identified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Купить "), F.when(F.col("o_custkey") % 3 == 0, "rx").otherwise("RX-"), key, F.when(F.length("o_orderpriority") % 2 == 0, " 50").otherwise("_60"), F.lit(", "), F.coalesce("p_brand", F.lit("")), F.lit("; RX7"), key)
     pages = orders.join(parts.select("p_partkey", "p_brand"), "p_partkey", "left").select(F.col("o_orderkey").alias("page_id"), said.alias("text"))
     return identity.product_pages(pages, products)
+
+
+#: Strata of parts: overlapping conditions and how many of each are wanted.
+_STRATA = [("small", "p_size < 15", 8), ("steel", "contains(p_type, 'STEEL')", 6), ("dear", "p_retailprice > 1000", 5), ("first", "p_partkey < 40", 10)]
+
+
+def _pick_sql() -> str:
+    """One step a stratum: open rows by the count of their brand among those taken, then by hash."""
+    steps = ["rows AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, list_reduce([2166136261::BIGINT] || list_transform(string_split(p_partkey::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h, " + ", ".join(f"coalesce({c}, false) AS {n}" for n, c, _ in _STRATA) + " FROM part)", "taken0 AS MATERIALIZED (SELECT k, b FROM rows WHERE false)"]
+    for i, (name, _, quota) in enumerate([*_STRATA, (None, None, None)]):
+        want = str(quota) if name else f"greatest(0, 40 - (SELECT count(*) FROM taken{i}))"
+        steps.append(f"taken{i + 1} AS MATERIALIZED (SELECT k, b FROM taken{i} UNION ALL (SELECT k, b FROM rows r WHERE {name or 'true'} AND k NOT IN (SELECT k FROM taken{i}) ORDER BY (SELECT count(*) FROM taken{i} t WHERE t.b IS NOT DISTINCT FROM r.b), h, k LIMIT ({want})))")
+    told = "list_filter([" + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n, _, _ in _STRATA) + "], lambda x: x IS NOT NULL)"
+    return f"WITH {', '.join(steps)} SELECT k AS p_partkey, CASE WHEN len({told}) = 0 THEN 'plain' ELSE array_to_string({told}, ',') END AS strata FROM rows WHERE k IN (SELECT k FROM taken{len(_STRATA) + 1})"
+
+
+@query(_pick_sql())
+def picked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty parts to label: quotas of overlapping strata, brands in balance, topped up from all."""
+    strata = [(name, F.coalesce(F.expr(condition), F.lit(False)), quota) for name, condition, quota in _STRATA]
+    picked = audit.stratified_pick(_table(spark, sf_dir, "part"), "p_partkey", "p_brand", strata, 40)
+    return picked.select("p_partkey", F.array_join("strata", ",").alias("strata"))

@@ -142,3 +142,29 @@ def test_incremental_import(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/ledger").count() == 5
     timed = stream.select("sku", F.lit("2024-01-01").cast("timestamp").alias("t"))
     assert imports.facet_counts(timed, "sku", "t").isStreaming
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder / "1.json", '{"sku": "a", "n": 1}\n{"sku": "b", "n": 3}')
+    for attempt in (1, 2):
+        stream = spark.readStream.schema("sku string, n int").json(str(folder))
+        imports.ledger_of(stream, f"{tmp_path}/ledger", f"{tmp_path}/ck{attempt}", lambda d: d).awaitTermination()
+    assert sorted((r.sku, r.batch) for r in spark.read.json(f"{tmp_path}/ledger").collect()) == [("a", 0), ("b", 0)]
+
+
+def test_import_takes_up_where_it_ended(spark, tmp_path):
+    rows = [(0, "a", "u1"), (1, "b", None), (2, "a", "u2"), (3, "c", "u3"), (4, "d", "u4"), (5, "c", "u5"), (6, "e", "u6")]
+    offers = spark.createDataFrame(rows, "place long, id string, image_url string")
+    album = f"{tmp_path}/album"
+    steps = [imports.import_offers(offers, album, 3) for _ in range(4)]
+    assert [(s["next_offset"], s["last_added"], s["exhausted"]) for s in steps] == [(3, 1, False), (6, 2, False), (7, 1, True), (7, 0, True)]
+    items = spark.read.parquet(f"{album}/items")
+    assert sorted((r.id, r.image_url) for r in items.collect()) == [("a", "u1"), ("c", "u3"), ("d", "u4"), ("e", "u6")]
+    import shutil
+
+    shutil.rmtree(f"{album}/cursor/at=4")  # the run ended before its cursor was written
+    shutil.rmtree(f"{album}/cursor/at=3")
+    again = imports.import_offers(offers, album, 3)
+    assert (again["run"], again["last_added"]) == (3, 1) and sorted(r.id for r in spark.read.parquet(f"{album}/items").collect()) == ["a", "c", "d", "e"]

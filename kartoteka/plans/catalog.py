@@ -246,11 +246,11 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1)) AS x FROM pages)
+WITH c AS (SELECT page_id, unnest(CASE WHEN regexp_matches(html, '(?i)<li[\\s>/]') THEN regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1) ELSE string_split_regex(html, '(?i)<br\\s*/?>') END) AS x FROM pages)
 SELECT page_id, count(*)::INT AS items, string_agg({_strip_sql('x')}, '|' ORDER BY {_strip_sql('x')}) AS texts FROM c WHERE {_strip_sql('x')} <> '' GROUP BY page_id
 """)
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _table(spark, sf_dir, "pages").filter(F.col("html").rlike("(?i)<li[\\s>/]")).select("page_id", text.html_chunks(F.col("html")).alias("c"))
+    chunks = _table(spark, sf_dir, "pages").select("page_id", text.html_chunks(F.col("html")).alias("c"))
     return chunks.filter(F.size("c") > 0).select("page_id", F.size("c").alias("items"), F.array_join(F.array_sort("c"), "|").alias("texts"))
 
 

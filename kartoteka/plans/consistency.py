@@ -91,13 +91,13 @@ def confirmed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT o_custkey AS id, o_orderstatus AS code, min(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END) AS place FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2), f AS (SELECT o_custkey AS id, o_orderstatus AS code, min(o_orderpriority) AS value FROM orders GROUP BY 1, 2)
+WITH i AS (SELECT o_custkey AS id, o_orderstatus AS code, min(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END) AS place FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2), f AS (SELECT o_custkey AS id, o_orderstatus AS code, min(o_orderpriority) AS value FROM orders GROUP BY 1, 2)
 SELECT id, code, CASE place WHEN 0 THEN NULL WHEN 2 THEN 'new' ELSE value END AS value, CASE place WHEN 0 THEN 'strip' WHEN 2 THEN 'map' WHEN 3 THEN 'recompute' WHEN 6 THEN 'review' ELSE 'keep' END AS decision FROM f LEFT JOIN i USING (id, code)
 """)
 def mended_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
     kind = F.when(k == 0, "fabrication").when(k == 1, "not_in_aliases").when(k == 2, "bucket").otherwise("other")
-    issues = orders.filter(F.col("o_orderkey") % 5 == 0).select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("code"), kind.alias("kind"), F.lit("new").alias("new_value"))
+    issues = orders.filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("code"), kind.alias("kind"), F.lit("new").alias("new_value"))
     facts = orders.groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("code")).agg(F.min("o_orderpriority").alias("value"))
     return consistency.applied(facts, consistency.decided(issues))
 

@@ -33,6 +33,36 @@ def filter_coverage(products: DataFrame, filters: DataFrame, names: DataFrame, t
     return joined.select("code", n.alias("filled"), "eligible", share.alias("coverage"), F.when(share >= threshold, "ok").otherwise("below_threshold").alias("status"))
 
 
+def filter_report(products: DataFrame, filters: DataFrame, names: DataFrame, threshold: int = 70) -> DataFrame:
+    """(section, name, n, share, status): kinds of products, moves between categories, filters by how full they are, and totals, from one pass.
+
+    products: id, kind, mismatch, category, suggested. filters: id, code, label.
+    names: code. Products without a kind count as of kind `mismatch` where they
+    are one, else as `other`. Filters count in products of their own category
+    only; all of `names` are listed. Moves ("from>to") are those of products
+    with a suggested category. The last step holds one row a kind, move and
+    filter in one task.
+    """
+    wrong = F.coalesce("mismatch", F.lit(False))
+    kind = F.coalesce("kind", F.when(wrong, "mismatch").otherwise("other"))
+    none = F.lit(None).cast("string")
+    heads = products.select(kind.alias("kind"), F.when(F.col("suggested").isNotNull(), F.concat_ws(">", F.col("category").cast("string"), F.col("suggested").cast("string"))).alias("move"), none.alias("code"), F.lit(1).alias("head"), (~wrong).cast("int").alias("own"))
+    held = filters.filter("label is not null").select("id", "code").distinct().join(products.filter(~wrong).select("id"), "id", "left_semi")
+    filled = held.select(none.alias("kind"), none.alias("move"), "code", F.lit(0).alias("head"), F.lit(1).alias("own"))
+    asked = names.select(none.alias("kind"), none.alias("move"), "code", F.lit(0).alias("head"), F.lit(0).alias("own"))
+    sets = [[F.col("kind")], [F.col("move")], [F.col("code")], []]
+    rows = heads.unionByName(filled.join(names.select("code").distinct(), "code", "left_semi").select(*asked.columns)).unionByName(asked)
+    counted = rows.groupingSets(sets, "kind", "move", "code").agg(F.grouping_id().alias("g"), F.sum("head").alias("heads"), F.sum("own").alias("own"), F.sum(F.col("head") * F.col("own")).alias("eligible"))
+    # bits of the grouping: kind 4, move 2, code 1; set where the column is not grouped by
+    section = F.when(F.col("g") == 3, "kind").when(F.col("g") == 5, "move").when(F.col("g") == 6, "filter").otherwise("total")
+    name = F.coalesce("kind", "move", "code")
+    eligible = F.max(F.when(F.col("g") == 7, F.col("eligible"))).over(Window.partitionBy())
+    n = F.when(F.col("g") == 6, F.col("own")).otherwise(F.col("heads"))
+    share = F.when(F.col("g") == 6, F.floor(F.col("own") * 100 / F.greatest(F.col("all"), F.lit(1)) + 0.5)).when(F.col("g") == 7, F.col("all"))
+    told = counted.withColumn("all", F.coalesce(eligible, F.lit(0))).filter(name.isNotNull() | (F.col("g") == 7))
+    return told.select(section.alias("section"), F.coalesce(name, F.lit("products")).alias("name"), F.coalesce(n, F.lit(0)).alias("n"), share.alias("share"), F.when(F.col("g") == 6, F.when(share >= threshold, "ok").otherwise("below_threshold")).alias("status"))
+
+
 def thin_products(products: DataFrame, filters: DataFrame, required: DataFrame) -> DataFrame:
     """(id, n_filters, n_required, few, missing_required) of the products of their own category that have few filters or lack required ones."""
     own = products.filter(~F.coalesce("mismatch", F.lit(False))).select("id")

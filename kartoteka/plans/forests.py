@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.operators import audit, canons, identity
+from kartoteka.operators import audit, canons, coverage, identity
 from kartoteka.plans.catalog import _table, query
 
 
@@ -69,3 +69,21 @@ def picked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     strata = [(name, F.coalesce(F.expr(condition), F.lit(False)), quota) for name, condition, quota in _STRATA]
     picked = audit.stratified_pick(_table(spark, sf_dir, "part"), "p_partkey", "p_brand", strata, 40)
     return picked.select("p_partkey", F.array_join("strata", ",").alias("strata"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS kind, c_acctbal < 0 AS mismatch, c_nationkey, CASE WHEN c_acctbal < 0 AND c_nationkey < 20 THEN c_nationkey + 1 END AS moved FROM customer),
+f AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS code FROM orders WHERE o_orderstatus <> 'P'), own AS (SELECT id FROM p WHERE NOT mismatch), names AS (SELECT DISTINCT o_orderpriority AS code FROM orders WHERE o_orderpriority <> '5-LOW' UNION SELECT 'unused')
+SELECT 'kind' AS section, coalesce(kind, CASE WHEN mismatch THEN 'mismatch' ELSE 'other' END) AS name, count(*)::BIGINT AS n, NULL::BIGINT AS share, NULL AS status FROM p GROUP BY 2
+UNION ALL SELECT 'move', c_nationkey || '>' || moved, count(*), NULL, NULL FROM p WHERE moved IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'filter', code, n, s, CASE WHEN s >= 70 THEN 'ok' ELSE 'below_threshold' END FROM (SELECT code, count(f.id) AS n, floor(count(f.id) * 100 / greatest(1, (SELECT count(*) FROM own)) + 0.5)::BIGINT AS s FROM names LEFT JOIN (SELECT f.* FROM f JOIN own USING (id)) f USING (code) GROUP BY code)
+UNION ALL SELECT 'total', 'products', count(*), (SELECT count(*) FROM own), NULL FROM p
+""")
+def filter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as products, their orders as filters: kinds, moves, how full filters are, and totals, by grouping sets over one pass."""
+    wrong = F.col("c_acctbal") < 0
+    products = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("kind"), wrong.alias("mismatch"), F.col("c_nationkey").alias("category"), F.when(wrong & (F.col("c_nationkey") < 20), F.col("c_nationkey") + 1).alias("suggested"))
+    orders = _table(spark, sf_dir, "orders")
+    filters = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("code"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("label"))
+    names = orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("code")).distinct().unionByName(spark.range(1).select(F.lit("unused").alias("code")))
+    return coverage.filter_report(products, filters, names)

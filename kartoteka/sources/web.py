@@ -37,6 +37,27 @@ def accepted_sources(links: DataFrame, query: str, own_hosts: tuple[str, ...] =
     return first_per(kept, [query, "host"], ["place"])
 
 
+#: A search engine's answer: an error, or groups of found documents. An error of this code means that nothing was found.
+ANSWER = "struct<error:struct<_code:string,_VALUE:string>,results:struct<grouping:struct<group:array<struct<doc:array<struct<url:string>>>>>>>"
+NOTHING_FOUND = "15"
+
+
+def search_answer(text: Column) -> Column:
+    """struct<error, said, urls> of a search engine's XML, as it is, in base64, or in a JSON envelope; urls in the order of the answer.
+
+    error is the code of a refusal, said its text; an answer that found nothing
+    has no error and no urls, nor has a text that is no answer.
+    """
+    raw = lambda t: F.coalesce(F.get_json_object(t, "$.rawData"), F.get_json_object(t, "$.response.rawData"), t)
+    plain = lambda t: F.when(F.trim(t).rlike("^[A-Za-z0-9+/\\s]+=*$"), F.try_to_binary(F.regexp_replace(t, "\\s", ""), F.lit("base64")).cast("string")).otherwise(t)
+    body = F.regexp_extract(let(raw(F.coalesce(text, F.lit(""))), plain), "(?s)<response\\b.*</response>", 0)
+    # titles and passages hold markup of their own, which no field asks for
+    read = F.from_xml(F.when(body != "", F.regexp_replace(body, "(?s)<(title|passages|headline)\\b.*?</\\1>", "")), ANSWER)
+    urls = F.transform(F.flatten(F.transform(read["results"]["grouping"]["group"], lambda g: F.coalesce(g["doc"], F.array().cast("array<struct<url:string>>")))), lambda d: F.trim(d["url"]))
+    refused = (read["error"]["_code"] != NOTHING_FOUND)
+    return F.struct(F.when(refused, read["error"]["_code"]).alias("error"), F.when(refused, F.trim(read["error"]["_VALUE"])).alias("said"), F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != "")).alias("urls"))
+
+
 def ld_blocks(html: Column) -> Column:
     """array<variant>: JSON-LD blocks that parse, without comments or CDATA around them and commas before a closing bracket."""
     block = "(?is)<script[^>]*type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"

@@ -101,3 +101,18 @@ def test_pages_of_a_product(spark):
         assert (identity.product_pages(pages, product).count() > 0) == want, (text, model)
     words = spark.createDataFrame([("Холодильник белый",), ("Холодильник DON R 290 G",)], "n string").select(identity.key_words(F.col("n")).alias("w")).collect()
     assert [r.w for r in words] == [[], ["DON", "290"]]
+
+
+def test_answers_of_a_search_engine(spark):
+    import base64
+
+    xml = """<?xml version="1.0" encoding="utf-8"?><yandexsearch version="1.0"><response date="1"><results><grouping>
+        <group><doc><url>https://shop.example/card</url><title>A <hlword>model</hlword></title><saved-copy-url>https://copy.example</saved-copy-url></doc></group>
+        <group><doc><url><![CDATA[https://other.example/tovar?a=1&b=2]]></url><title>B</title></doc><doc><url>https://third.example/x?a=1&amp;b=2</url></doc></group>
+        </grouping></results></response></yandexsearch>"""
+    coded = base64.b64encode(xml.encode()).decode()
+    want = ["https://shop.example/card", "https://other.example/tovar?a=1&b=2", "https://third.example/x?a=1&b=2"]
+    cases = [(xml, None, want), (coded, None, want), (f'{{"rawData":"{coded}"}}', None, want), (f'{{"response":{{"rawData":"  {coded}  "}}}}', None, want), ('<response><error code="15">not found</error></response>', None, []), ('<response><error code="32">quota</error></response>', "32", []), ("no answer", None, []), (None, None, [])]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, x string")
+    got = df.select("i", web.search_answer(F.col("x")).alias("a")).orderBy("i").collect()
+    assert [(r.a.error, r.a.urls) for r in got] == [(e, u) for _, e, u in cases]

@@ -77,14 +77,30 @@ def match_keys(keys: DataFrame, synonyms: DataFrame, blacklist: DataFrame, least
 
     keys: key. synonyms: synonym, code, order. blacklist: phrase.
     """
-    distinct = keys.select("key").distinct()
-    found = exact_matches(distinct, synonyms)
-    found = found.unionByName(bag_matches(distinct.join(found, "key", "left_anti"), synonyms))
-    rest = distinct.join(found, "key", "left_anti")
-    barred = blacklisted(rest, blacklist)
-    fuzzy = fuzzy_matches(rest.join(barred, "key", "left_anti"), synonyms, least)
-    found = found.unionByName(barred.select("key", F.lit(None).cast("string").alias("code"), F.lit("blacklist").alias("how"))).unionByName(fuzzy)
-    return distinct.join(found, "key", "left").select("key", "code", F.coalesce("how", F.lit("unmapped")).alias("how"))
+    met = looked_up(keys.select("key").distinct(), synonyms, blacklist)
+    best = lambda how: F.min_by("code", F.when((F.col("how") == how) & F.col("found"), F.struct("order", "code"))).alias(how)
+    first = met.groupBy("key").agg(best("exact"), best("words"), F.bool_or((F.col("how") == "barred") & F.col("found")).alias("barred"))
+    open_ = F.coalesce("exact", "words").isNull() & ~F.coalesce("barred", F.lit(False))
+    likely = fuzzy_matches(first.filter(open_).select("key"), synonyms, least).select("key", F.col("code").alias("fuzzy"))
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("words").isNotNull(), "words").when(F.col("barred"), "blacklist").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("unmapped")
+    return first.join(likely, "key", "left").select("key", F.coalesce("exact", "words", "fuzzy").alias("code"), how.alias("how"))
+
+
+def looked_up(asked: DataFrame, synonyms: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """asked (key ...) with what its keys meet in one join: how (exact, words, barred), found, and the synonym's columns, with n, its length.
+
+    A key asks as it is, as a set of words, and with each of its beginnings and
+    ends for a blacklisted phrase; what meets nothing keeps rows of nulls.
+    """
+    words = F.split(norm_key(F.col("key")), " ")
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))))
+    probe = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("text"))
+    probes = F.concat(F.array(probe("exact", norm_key(F.col("key"))), probe("words", token_bag(F.col("key")))), F.transform(F.array_distinct(ends), lambda e: probe("barred", e)))
+    own = [c for c in synonyms.columns if c != "synonym"]
+    known = synonyms.select(*own, F.explode(F.array(probe("exact", norm_key(F.col("synonym"))), probe("words", token_bag(F.col("synonym"))))).alias("p"), F.length(norm_key(F.col("synonym"))).alias("n")).select(*own, "n", "p.how", "p.text")
+    barred = blacklist.select(*[F.lit(None).cast(synonyms.schema[c].dataType).alias(c) for c in own], F.lit(0).alias("n"), F.lit("barred").alias("how"), norm_key(F.col("phrase")).alias("text")).distinct()
+    dictionary = known.unionByName(barred).filter("text <> ''").withColumn("found", F.lit(True))
+    return asked.withColumn("p", F.explode(probes)).select(*asked.columns, "p.how", "p.text").join(dictionary, ["how", "text"], "left")
 
 
 def brand_in_name(names: DataFrame, name: str, brands: DataFrame, brand: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import fold, norm_key, token_bag, value_fold
+from kartoteka.functions.text import fold, norm_key, value_fold
 from kartoteka.functions.values import normalize_value
-from kartoteka.operators.match import LEAST_LIKENESS, blacklisted, pair_likeness
+from kartoteka.operators.match import LEAST_LIKENESS, blacklisted, looked_up, pair_likeness
 from kartoteka.operators.resolve import resolve_facts, source_rank
 from kartoteka.storage import computed_once
 
@@ -35,16 +35,7 @@ def match_pairs(pairs: DataFrame, synonyms: DataFrame, blacklist: DataFrame, lea
     than four letters are not matched by likeness, nor are blacklisted synonyms.
     """
     asked = pairs.select("key", "value").distinct()
-    # each key looks itself up once: as it is, as a set of words, and for a blacklisted phrase at either end
-    words = F.split(norm_key(F.col("key")), " ")
-    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))))
-    probe = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("text"))
-    probes = F.concat(F.array(probe("exact", norm_key(F.col("key"))), probe("words", token_bag(F.col("key")))), F.transform(F.array_distinct(ends), lambda e: probe("barred", e)))
-    none = F.lit(None)
-    known = synonyms.select("code", "kind", "order", F.explode(F.array(probe("exact", norm_key(F.col("synonym"))), probe("words", token_bag(F.col("synonym"))))).alias("p"), F.length(norm_key(F.col("synonym"))).alias("n")).select("code", "kind", "order", "n", "p.how", "p.text")
-    barred = blacklist.select(none.cast("string").alias("code"), none.cast("string").alias("kind"), none.cast("int").alias("order"), F.lit(0).alias("n"), F.lit("barred").alias("how"), norm_key(F.col("phrase")).alias("text")).distinct()
-    dictionary = known.unionByName(barred).filter("text <> ''").withColumn("found", F.lit(True))
-    met = asked.withColumn("p", F.explode(probes)).select("key", "value", "p.how", "p.text").join(dictionary, ["how", "text"], "left")
+    met = looked_up(asked, synonyms, blacklist)
     score = F.struct(candidate_score(F.col("kind"), F.col("value"), F.col("n")).alias("s"), (-F.col("order")).alias("o"))
     best = lambda how: F.max_by("code", F.when((F.col("how") == how) & F.col("found"), score)).alias(how)
     wanted = None

@@ -99,9 +99,14 @@ def forget_others(operator: str = "") -> None:
         m.clear()
     if held:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # the C library may not offer it; then freed memory goes back later
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, for a worker that may stand idle after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may not offer it; then freed memory goes back later
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kartoteka.llm.common import SPACE, cut, forget_others, hashed_words, remembered, slices
+from kartoteka.llm.common import SPACE, cut, forget_others, give_back, hashed_words, remembered, slices
 
 MODEL, SPECIAL = "word_bpe_49k.json", "<|endoftext|>"
 #: Tokens of a sequence, tokens of an independently packed group, and words a worker remembers.
-CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 2_500_000
+CAPACITY, GROUP_TOKENS, REMEMBERED = 2048, 1 << 21, 600_000
 #: Cost of n tokens of one document: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1 / 4096
 #: Kinds of bytes: 0 white space, 1 a letter of ASCII, 2 a mark that may end a word, 3 others.
@@ -142,7 +142,7 @@ def _tokenised(path: str, capacity: int, end_id: int):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             carries = batch.column(2).to_pylist()
-            for a, b in slices([t.encode() for t in texts], 2_000_000):
+            for a, b in slices([t.encode() for t in texts], 1_000_000):
                 totals, fulls, rests, crcs, carried = [], [], [], [], []
                 for i, ids in enumerate(own.encode(texts[a:b])):
                     ids = np.append(ids, np.uint32(end_id))
@@ -157,6 +157,7 @@ def _tokenised(path: str, capacity: int, end_id: int):
                     [batch.column(0).slice(a, b - a), pa.array(totals, pa.int64()), pa.array(fulls, pa.list_(pa.int64())), pa.array(rests, pa.int32()), pa.array(crcs, pa.int64()), pa.array(carried, pa.binary())],
                     ["doc_id", "doc_tokens", "full_crcs", "rest", "rest_crc", "rest_ids"],
                 )
+        give_back()
 
     return run
 

@@ -62,10 +62,14 @@ def fact_counts(products: DataFrame, facts: DataFrame, least: int = 5) -> DataFr
 def needs_lookup(products: DataFrame, facts: DataFrame, wanted: DataFrame, least: int = 5) -> DataFrame:
     """(id, thin, missing): identifiable products (model) with few facts, or without some of the wanted codes."""
     counts = fact_counts(products, facts, least)
-    gaps = products.select("id").crossJoin(wanted.select("code").distinct()).join(facts.filter("coalesce(value, '') <> ''").select("id", "code").distinct(), ["id", "code"], "left_anti")
-    missing = gaps.groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("missing"))
+    asked = wanted.select("code").distinct()
+    held = facts.filter("coalesce(value, '') <> ''").select("id", "code").join(asked, "code", "left_semi").groupBy("id").agg(F.collect_set("code").alias("held"))
+    everything = asked.agg(F.collect_set("code").alias("all"))  # one row, as long as the dictionary
+    none = F.array().cast("array<string>")
+    lacking = F.array_sort(F.array_except("all", F.coalesce("held", none)))
+    missing = products.select("id").distinct().join(held, "id", "left").crossJoin(F.broadcast(everything)).select("id", lacking.alias("missing"))
     joined = products.filter(F.coalesce("model", F.lit("")) != "").select("id").join(counts, "id").join(missing, "id", "left")
-    return joined.select("id", "thin", F.coalesce("missing", F.array().cast("array<string>")).alias("missing")).filter(F.col("thin") | (F.size("missing") > 0))
+    return joined.select("id", "thin", F.coalesce("missing", none).alias("missing")).filter(F.col("thin") | (F.size("missing") > 0))
 
 
 def merge_dump_texts(cards: DataFrame, dump: DataFrame, key: str) -> DataFrame:

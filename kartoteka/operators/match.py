@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import bigrams, norm_key, token_bag
+from kartoteka.functions.text import bigrams, let, norm_key, token_bag
 
 #: Least likeness of a fuzzy match, and how much lengths may differ.
 LEAST_LIKENESS, LENGTH_GAP = 0.9, 12
@@ -90,17 +90,19 @@ def looked_up(asked: DataFrame, synonyms: DataFrame, blacklist: DataFrame) -> Da
     """asked (key ...) with what its keys meet in one join: how (exact, words, barred), found, and the synonym's columns, with n, its length.
 
     A key asks as it is, as a set of words, and with each of its beginnings and
-    ends for a blacklisted phrase; what meets nothing keeps rows of nulls.
+    ends for a blacklisted phrase; what meets nothing keeps rows of nulls. There
+    is always something to ask: the outer form only keeps the optimizer from a
+    filter on the size of what is asked, which it would push to the rows that
+    asked is made of.
     """
-    words = F.split(norm_key(F.col("key")), " ")
-    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))))
+    ends = let(F.split(norm_key(F.col("key")), " "), lambda words: F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")))))
     probe = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("text"))
     probes = F.concat(F.array(probe("exact", norm_key(F.col("key"))), probe("words", token_bag(F.col("key")))), F.transform(F.array_distinct(ends), lambda e: probe("barred", e)))
     own = [c for c in synonyms.columns if c != "synonym"]
     known = synonyms.select(*own, F.explode(F.array(probe("exact", norm_key(F.col("synonym"))), probe("words", token_bag(F.col("synonym"))))).alias("p"), F.length(norm_key(F.col("synonym"))).alias("n")).select(*own, "n", "p.how", "p.text")
     barred = blacklist.select(*[F.lit(None).cast(synonyms.schema[c].dataType).alias(c) for c in own], F.lit(0).alias("n"), F.lit("barred").alias("how"), norm_key(F.col("phrase")).alias("text")).distinct()
     dictionary = known.unionByName(barred).filter("text <> ''").withColumn("found", F.lit(True))
-    return asked.withColumn("p", F.explode(probes)).select(*asked.columns, "p.how", "p.text").join(dictionary, ["how", "text"], "left")
+    return asked.withColumn("p", F.explode_outer(probes)).select(*asked.columns, "p.how", "p.text").join(dictionary, ["how", "text"], "left")
 
 
 def brand_in_name(names: DataFrame, name: str, brands: DataFrame, brand: str) -> DataFrame:

@@ -33,8 +33,10 @@ def match_pairs(pairs: DataFrame, synonyms: DataFrame, blacklist: DataFrame, lea
     synonyms: synonym, code, kind, order. Among attributes that share a synonym
     the one whose kind suits the value wins, then the lesser order. Keys of fewer
     than four letters are not matched by likeness, nor are blacklisted synonyms.
+    Distinct pairs are computed once: filters on their keys would else be pushed
+    to the rows they come from.
     """
-    asked = pairs.select("key", "value").distinct()
+    asked = computed_once(pairs.select("key", "value").distinct())
     met = looked_up(asked, synonyms, blacklist)
     score = F.struct(candidate_score(F.col("kind"), F.col("value"), F.col("n")).alias("s"), (-F.col("order")).alias("o"))
     best = lambda how: F.max_by("code", F.when((F.col("how") == how) & F.col("found"), score)).alias(how)

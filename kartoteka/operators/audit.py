@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import norm_key, value_fold
+from kartoteka.functions.text import let, norm_key, value_fold
 from kartoteka.functions.values import agrees, as_number
 from kartoteka.operators.facets import facet_labels
 
@@ -49,9 +49,11 @@ def value_claims(texts: DataFrame, id_col: str, text_col: str, aliases: DataFram
     nor one after a word of denial.
     """
     most_words = aliases.agg(F.max(F.size(F.split(norm_key(F.col("alias")), " ")))).first()[0] or 1
-    words = F.split(norm_key(F.col(text_col)), " ")
-    spots = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("phrase"), F.get(words, i - 2).alias("before")))))
-    said = texts.select(F.col(id_col).alias("id"), F.explode(spots).alias("s")).select("id", "s.*")
+    phrases = lambda words: F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("phrase"), F.get(words, i - 2).alias("before")))))
+    # reading a text costs far more than moving it: texts are dealt out to as many tasks as a shuffle has
+    dealt = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    # a text has one word at least, an empty one; the outer form keeps the optimizer from a filter that would compute the phrases once more
+    said = dealt.select("id", F.explode_outer(let(F.split(norm_key(F.col("t")), " "), phrases)).alias("s")).select("id", "s.*")
     hits = said.join(aliases.select("code", "canon", norm_key(F.col("alias")).alias("phrase")).distinct(), "phrase")
     longest = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("id", "code").orderBy("at", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
     kept = hits.withColumn("_end", longest).filter("_end is null or at + n > _end").filter(~F.coalesce(F.col("before").isin(*NEGATIONS), F.lit(False)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kartoteka.operators import match, normalise
+from kartoteka.operators import audit, match, normalise
 
 SYNONYMS, SYNONYM = [("Вес", "weight", "number", 1), ("Количество полок", "shelves", "integer", 2)], "synonym string, code string, kind string, order int"
 
@@ -20,3 +20,11 @@ def test_keys_are_read_once_a_pair_not_once_a_row(spark):
     assert "Range" not in optimized(found)
     assert {(r.key, r.code, r.how) for r in found.collect()} == {("Вес", "weight", "exact"), ("вес брутто с паллетой", None, "blacklist"), ("Количество полоки", "shelves", "fuzzy")}
     assert found.count() == 6
+
+
+def test_texts_are_dealt_out_and_their_phrases_computed_once(spark):
+    texts = spark.range(6).coalesce(1).select("id", F.when(F.col("id") % 2 == 0, "A red bolt, boxed").when(F.col("id") == 1, "not red").alias("text"))
+    aliases = spark.createDataFrame([("colour", "red", "red"), ("kind", "bolt", "fastener")], "code string, alias string, canon string")
+    claims = audit.value_claims(texts, "id", "text", aliases)
+    assert "RepartitionByExpression" in optimized(claims) and "size(flatten" not in optimized(claims)
+    assert sorted(tuple(r) for r in claims.collect()) == sorted((i, *x) for i in (0, 2, 4) for x in (("colour", "red"), ("kind", "fastener")))

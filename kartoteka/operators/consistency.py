@@ -10,6 +10,7 @@ from kartoteka.functions.text import fold, let, squeeze, strip_html, value_fold
 from kartoteka.functions.values import BARE_WORDS, as_number, refrigerant
 from kartoteka.operators.normalise import alias_values, match_pairs
 from kartoteka.operators.resolve import source_rank
+from kartoteka.storage import computed_once
 
 #: Sources whose facts may become filters; a model's word and reviews may not.
 FILTER_SOURCES = ("S0", "S1", "S2", "S3", "source_json", "manufacturer", "official_product_page", "trusted_retailer", "major_retailer", "retailer", "distributor")
@@ -168,7 +169,12 @@ def mapped_values(facts: DataFrame, aliases: DataFrame, skipped: DataFrame) -> D
 
 
 def suggested_attributes(lines: DataFrame, synonyms: DataFrame, blacklist: DataFrame, least: float = 0.72) -> DataFrame:
-    """(line, key, value, code, how): "key — value" lines of an import with the attribute that each key may be."""
+    """(line, key, value, code, how): "key — value" lines of an import with the attribute that each key may be.
+
+    Lines are computed once: the filter on their keys would else be pushed to
+    the rows they come from.
+    """
+    lines = computed_once(lines)
     parts = F.split(squeeze(F.col("line")), "\\s+[-–—]\\s+|\\s*:\\s+|\\t", 2)
     rows = lines.select("line", squeeze(F.get(parts, F.lit(0))).alias("key"), F.coalesce(squeeze(F.get(parts, F.lit(1))), F.lit("")).alias("value")).filter("key <> ''")
     return rows.join(match_pairs(rows, synonyms, blacklist, least), ["key", "value"]).select("line", "key", "value", "code", "how")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kartoteka.operators import audit, match, normalise
+from kartoteka.operators import audit, consistency, match, normalise
 
 SYNONYMS, SYNONYM = [("Вес", "weight", "number", 1), ("Количество полок", "shelves", "integer", 2)], "synonym string, code string, kind string, order int"
 
@@ -28,3 +28,10 @@ def test_texts_are_dealt_out_and_their_phrases_computed_once(spark):
     claims = audit.value_claims(texts, "id", "text", aliases)
     assert "RepartitionByExpression" in optimized(claims) and "size(flatten" not in optimized(claims)
     assert sorted(tuple(r) for r in claims.collect()) == sorted((i, *x) for i in (0, 2, 4) for x in (("colour", "red"), ("kind", "fastener")))
+
+
+def test_lines_are_read_once_a_line_not_once_a_row(spark):
+    lines = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "Вес — 5 кг").otherwise("Количество полоки: 3").alias("line")).distinct()
+    found = consistency.suggested_attributes(lines, spark.createDataFrame(SYNONYMS, SYNONYM), spark.createDataFrame([("вес брутто",)], "phrase string"))
+    assert "Range" not in optimized(found)
+    assert sorted(tuple(r) for r in found.collect()) == [("Вес — 5 кг", "Вес", "5 кг", "weight", "exact"), ("Количество полоки: 3", "Количество полоки", "3", "shelves", "fuzzy")]

@@ -21,9 +21,8 @@ def product_facts(cards: DataFrame, synonyms: DataFrame, required: DataFrame) ->
     where a required attribute (code) is still open: whole, if it is a dump or
     nothing else speaks and it has three pairs; else the pairs that fill a hole.
     """
-    read = cards.withColumn("dump", looks_dumped(F.col("description")))
-    told = text_pairs(read, {"annotation": "S1", "description": "S2"}, synonyms, keep=("dump",))
-    shop = read.select("id", "dump", F.posexplode(pairs_of_attributes(F.col("attributes"))).alias("at", "p"))
+    told = text_pairs(cards, {"annotation": "S1", "description": "S2"}, synonyms, keep={"dump": looks_dumped(F.col("description"))})
+    shop = cards.select("id", F.lit(False).alias("dump"), F.posexplode_outer(pairs_of_attributes(F.col("attributes"))).alias("at", "p"))  # the outer form, or a filter would compute the pairs once more; whether it is a dump counts for descriptions alone
     seq = F.struct(F.lit(0).alias("part"), F.col("at").alias("line"), F.lit(0).alias("phrase"), F.lit(0).alias("step"))
     shop = shop.select("id", "dump", F.lit("S0").alias("source"), seq.alias("seq"), F.col("p.key").alias("key"), without_legal_tail(F.col("p.value")).alias("value"), F.lit("attr").alias("via")).filter("value <> ''")
     known = synonyms.select(norm_key(F.col("synonym")).alias("normal"), "code", "order").groupBy("normal").agg(F.min_by("code", F.struct("order", "code")).alias("code"))

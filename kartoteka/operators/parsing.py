@@ -67,7 +67,7 @@ def known_keys(cards: DataFrame, texts: list[str], synonyms: DataFrame, blacklis
         entries = entries.unionByName(blacklist.select(norm_key(F.col("phrase")).alias("normal"), F.lit(None).cast("string").alias("code")).distinct())
     entries = entries.filter("normal <> ''").withColumn("word", F.substring_index("normal", " ", 1))
     said = cards.select("id", norm_key(strip_html(F.concat_ws(" . ", *texts))).alias("said"))
-    words = said.select("id", "said", F.explode(F.array_distinct(F.split("said", " "))).alias("word"))
+    words = said.select("id", "said", _each(F.array_distinct(F.split("said", " "))).alias("word"))
     stands = F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "normal", F.lit(" ")))
     met = words.join(entries, "word").filter(stands).groupBy("id").agg(F.collect_set(F.when(F.col("code").isNotNull(), F.struct("normal", "code"))).alias("known"), F.collect_set(F.when(F.col("code").isNull(), F.col("normal"))).alias("barred"))
     held = cards.join(met, "id", "left")
@@ -241,18 +241,28 @@ def segment_pairs(segments: DataFrame) -> DataFrame:
     return rows.select(*segments.columns, _each(F.array(pair)).alias("p")).filter("p is not null").select(*segments.columns, "p.*")
 
 
-def text_pairs(cards: DataFrame, texts: dict[str, str], synonyms: DataFrame, blacklist: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def text_pairs(cards: DataFrame, texts: dict[str, str], synonyms: DataFrame, blacklist: DataFrame | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, *keep, source, seq, key, value, via, code): the pairs of cards' texts (a column and the source it is), in order.
 
     Of a text its list items or lines are read, then what stands outside lists.
     A text of one chunk without a cut is read as a paragraph: its sentences, or
     what stands between semicolons or wide spaces, if there are three. Legal
-    phrases after a value are cut off. Ids are one a card.
+    phrases after a value are cut off. Ids are one a card; cards whose texts are
+    all equal are read once. keep: columns made of the texts, by name.
     """
+    keep = keep or {}
+    said = F.concat(*[F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in texts])
+    marked = cards.select("id", said.alias("said_as"), *texts)
+    # reading a text costs far more than moving it: different ones are dealt out to as many tasks as a shuffle has, however few bytes they are, and the join on id needs no other exchange
+    different = marked.select(F.col("said_as").alias("id"), *texts).distinct().repartition(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    pairs = _read_pairs(different.withColumns(keep) if keep else different, texts, synonyms, blacklist, tuple(keep))
+    return marked.select("id", "said_as").join(pairs.withColumnRenamed("id", "said_as"), "said_as").drop("said_as")
+
+
+def _read_pairs(cards: DataFrame, texts: dict[str, str], synonyms: DataFrame, blacklist: DataFrame | None, keep: tuple[str, ...]) -> DataFrame:
+    """text_pairs() of cards that lie as they are to be read."""
     outside = lambda t: F.regexp_replace(F.regexp_replace(t, "(?is)<(ul|ol)(?:\\s[^>]*)?>.*?</\\1>", " "), "(?is)<li(?:\\s[^>]*)?>.*?</li>", " ")
-    # reading a card costs far more than moving it: cards are dealt out to as many tasks as a shuffle has, however few bytes they are, and the join on id needs no other exchange
-    dealt = cards.select("id", *keep, *texts).repartition(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    told = known_keys(dealt, list(texts), synonyms, blacklist)
+    told = known_keys(cards, list(texts), synonyms, blacklist)
     each = told.select("id", *keep, "known", "barred", _each(F.array(*[F.struct(F.lit(source).alias("source"), F.coalesce(F.col(c), F.lit("")).alias("html")) for c, source in texts.items()])).alias("t")).select("*", "t.*").drop("t")
     each = each.filter("html <> ''").withColumn("rest", F.when(F.col("html").rlike("(?i)<li[\\s>/]"), outside(F.col("html"))))
     parts = F.when(F.length(strip_html(F.col("rest"))) > 20, F.array("html", "rest")).otherwise(F.array("html"))

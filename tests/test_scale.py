@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kartoteka.operators import audit, consistency, match, normalise
+from kartoteka.operators import audit, consistency, match, normalise, parsing
 
 SYNONYMS, SYNONYM = [("Вес", "weight", "number", 1), ("Количество полок", "shelves", "integer", 2)], "synonym string, code string, kind string, order int"
 
@@ -35,3 +35,25 @@ def test_lines_are_read_once_a_line_not_once_a_row(spark):
     found = consistency.suggested_attributes(lines, spark.createDataFrame(SYNONYMS, SYNONYM), spark.createDataFrame([("вес брутто",)], "phrase string"))
     assert "Range" not in optimized(found)
     assert sorted(tuple(r) for r in found.collect()) == [("Вес — 5 кг", "Вес", "5 кг", "weight", "exact"), ("Количество полоки: 3", "Количество полоки", "3", "shelves", "fuzzy")]
+
+
+def counted(spark, function, returns):
+    """function as a UDF, with an accumulator of its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(*values):
+        calls.add(1)
+        return function(*values)
+
+    return F.udf(call, returns), calls
+
+
+def test_cards_of_equal_texts_are_read_once(spark, monkeypatch):
+    tail, calls = counted(spark, lambda t: t, "string")
+    monkeypatch.setattr(parsing, "without_legal_tail", tail)
+    html = F.when(F.col("id") % 4 == 0, "<li>Вес: 5 кг</li><li>Цвет: красный</li>").when(F.col("id") % 4 == 1, "Вес: 6 кг").when(F.col("id") % 4 == 2, "")
+    cards = spark.range(200).select("id", html.alias("html"))
+    got = parsing.text_pairs(cards, {"html": "S1"}, spark.createDataFrame([("Вес", "weight", 1)], "synonym string, code string, order int")).collect()
+    want = [(i, "Вес", "5 кг", "weight") for i in range(0, 200, 4)] + [(i, "Цвет", "красный", None) for i in range(0, 200, 4)] + [(i, "Вес", "6 кг", "weight") for i in range(1, 200, 4)]
+    assert sorted((r.id, r.key, r.value, str(r.code)) for r in got) == sorted((i, k, v, str(c)) for i, k, v, c in want)
+    assert calls.value <= 12

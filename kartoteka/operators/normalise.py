@@ -80,12 +80,13 @@ def normalize_products(pairs: DataFrame, attributes: DataFrame, synonyms: DataFr
     fact is the first one of the highest source; status is ok, the reason why a
     value was refused, or unmapped for keys of no attribute. pairs are computed
     once: matching looks at them several times, and reading cards is costly.
+    Values are read once a distinct key and value.
     """
     pairs = computed_once(pairs)
     matched = match_pairs(pairs, synonyms, blacklist, least)
-    joined = pairs.join(matched.select("key", "value", "code"), ["key", "value"]).join(attributes, "code", "left")
     read = normalize_value(F.col("kind"), F.col("value"), F.col("lo"), F.col("hi"), F.col("unit"), F.col("key"))
-    rows = joined.select("id", "seq", "level", "key", F.col("value").alias("raw"), "code", F.when(F.col("code").isNotNull(), read).alias("v"))
+    known = computed_once(matched.join(attributes, "code", "left").select("key", "value", "code", F.when(F.col("code").isNotNull(), read).alias("v")))
+    rows = pairs.join(known, ["key", "value"]).select("id", "seq", "level", "key", F.col("value").alias("raw"), "code", "v")
     sound = rows.filter("v.value is not null").select("id", "code", F.col("v.value").alias("value"), "level", "seq", source_rank(F.col("level")).alias("rank"))
     facts = resolve_facts(sound, ["id", "code"], "rank", "seq").select("id", "code", "value", "level", F.lit("ok").alias("status"))
     odd = rows.filter("v.value is null").select("id", "code", F.when(F.col("code").isNull(), F.col("key")).otherwise(F.col("raw")).alias("value"), "level", F.coalesce("v.reason", F.lit("unmapped")).alias("status"))

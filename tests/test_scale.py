@@ -57,3 +57,13 @@ def test_cards_of_equal_texts_are_read_once(spark, monkeypatch):
     want = [(i, "Вес", "5 кг", "weight") for i in range(0, 200, 4)] + [(i, "Цвет", "красный", None) for i in range(0, 200, 4)] + [(i, "Вес", "6 кг", "weight") for i in range(1, 200, 4)]
     assert sorted((r.id, r.key, r.value, str(r.code)) for r in got) == sorted((i, k, v, str(c)) for i, k, v, c in want)
     assert calls.value <= 12
+
+
+def test_values_are_read_once_a_pair_not_once_a_row(spark, monkeypatch):
+    read, calls = counted(spark, lambda kind, value, lo, hi, unit, key: (value.upper(), None), "value string, reason string")
+    monkeypatch.setattr(normalise, "normalize_value", read)
+    pairs = spark.range(300).select("id", F.col("id").alias("seq"), F.lit("Вес").alias("key"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("value"), F.lit("S1").alias("level"))
+    attributes = spark.createDataFrame([("weight", "number", "kg", 0.0, 45.0)], "code string, kind string, unit string, lo double, hi double")
+    got = normalise.normalize_products(pairs, attributes, spark.createDataFrame(SYNONYMS, SYNONYM), spark.createDataFrame([("вес брутто",)], "phrase string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, "weight", "AB"[i % 2], "S1", "ok") for i in range(300)]
+    assert calls.value <= 8
